@@ -26,9 +26,8 @@ from pyspark.sql.window import Window
 
 from lodestone.llm import textbytes as tb
 
-#: Labelled documents of a language that its tree is counted on, at most: those of the least hash of
-#: doc_id; and the bytes that are read of each of them.
-MAX_DOCS, MAX_BYTES = 200, 20_000
+#: Labelled documents of a language that its tree is counted on, at most: those of the least hash of doc_id.
+MAX_DOCS = 200
 ORDER = 3
 #: Bytes of text looked up at once.
 CHUNK = 1 << 18
@@ -160,8 +159,8 @@ class Trees:
         return out
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Trees:
-    """Trees of the languages in ``lang``, from at most ``max_docs`` documents of each, ``max_bytes`` of each document.
+def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Trees:
+    """Trees of the languages in ``lang``, from the whole texts of at most ``max_docs`` documents of each.
 
     Null languages and null or empty texts aren't learnt from.
     """
@@ -169,7 +168,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES)
     labelled = docs.where("lang is not null and text is not null and text <> '' and doc_id is not null")
     # a document of a hash in the lowest part of the range may be among the least; the number of languages is small
     some = labelled.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_docs).select("doc_id", "k")
-    rows = docs.select("doc_id", "lang", F.substring(F.encode("text", "utf-8"), 1, max_bytes).alias("b")).join(F.broadcast(some), "doc_id").where("lang is not null and b is not null")
+    rows = docs.select("doc_id", "lang", F.encode("text", "utf-8").alias("b")).join(F.broadcast(some), "doc_id").where("lang is not null and b is not null")
     samples: dict[str, list[bytes]] = {}
     for r in rows.orderBy("lang", "k", "b").collect():
         samples.setdefault(r["lang"], []).append(bytes(r["b"]))

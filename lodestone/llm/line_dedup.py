@@ -329,7 +329,7 @@ QUERIES = {"op4_line_dedup": op4_line_dedup}
 ORACLE_SQL = {
     "op4_line_dedup": f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number FROM documents),
-f AS (SELECT line, min(struct_pack(d := doc_id, n := number)) AS first FROM l WHERE regexp_matches(line, '[^\x00-\x20]') GROUP BY line),
+f AS (SELECT line, min(struct_pack(d := doc_id, n := number)) AS first FROM l WHERE regexp_matches(line, '[^\\x00-\\x20]') GROUP BY line),
 near AS (
   SELECT DISTINCT b.line FROM f a JOIN f b
   ON a.first < b.first AND abs(length(a.line) - length(b.line)) <= {TAU} AND length(a.line) >= {MIN_CHARS} AND length(b.line) >= {MIN_CHARS}

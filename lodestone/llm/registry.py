@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("jaccard_join",)
+MODULES = ("decontaminate", "quality", "line_dedup", "capture_index", "jaccard_join", "language", "packing")
 
 
 def _modules():
