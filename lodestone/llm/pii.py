@@ -7,6 +7,7 @@ Viterbi's algorithm. Where windows overlap, each character takes the label of th
 window that sees more around it, and runs of a label over the whole text are
 the spans, so a span may cross any number of windows.
 
+Gates and cells are squashed by x / (1 + |x|), which costs a fraction of a tanh.
 Transitions are never above zero and that from nothing to nothing is zero.
 So where nothing is the best label of every character of a window, it is the
 best path as well, and no search is needed.
@@ -15,6 +16,7 @@ best path as well, and no search is needed.
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,11 +29,11 @@ from lodestone.llm import textbytes as tb
 KINDS = ("", "email", "phone", "card", "ip", "secret")
 K = len(KINDS)
 #: Units of each direction; characters of a window and of what it shares with the next.
-UNITS, WINDOW, OVERLAP = 10, 512, 96
+UNITS, WINDOW, OVERLAP = 8, 1024, 96
 #: Sentences of a step of the training, their characters, steps, and the seed of all that is random.
-BATCH, LENGTH, STEPS, SEED = 128, 128, 420, 11
+BATCH, LENGTH, STEPS, SEED = 128, 128, 440, 11
 #: Bytes of text run at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 21
 
 #: Symbols: ASCII characters, then any other letter, then any other character.
 V = 130
@@ -108,7 +110,7 @@ def _card(r: random.Random) -> str:
 
 
 def _ip(r: random.Random) -> str:
-    return ".".join(str(r.randint(1, 255)) for _ in range(4))
+    return ".".join(str(r.randint(0, r.choice((9, 99, 255, 255)))) for _ in range(4))
 
 
 def _secret(r: random.Random) -> str:
@@ -152,8 +154,13 @@ def _encoded(text: str) -> np.ndarray:
 # --- training -----------------------------------------------------------------
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _squash(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
+
+
+def _slope(y: np.ndarray) -> np.ndarray:
+    """Derivative of _squash, by its value."""
+    return (1 - np.abs(y)) ** 2
 
 
 def _run(x: np.ndarray, wx: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, list]:
@@ -163,11 +170,12 @@ def _run(x: np.ndarray, wx: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, lis
     out, tape = np.empty((len(x), units, many), np.float32), []
     for t, symbol in enumerate(x):
         z = wx[:, symbol] + wh @ h
-        gate, g = _sigmoid(z[: 3 * units]), np.tanh(z[3 * units :])
+        z = _squash(z)
+        gate, g = 0.5 + 0.5 * z[: 3 * units], z[3 * units :]
         i, f, o = gate[:units], gate[units : 2 * units], gate[2 * units :]
         before, c_before = h, c
         c = f * c + i * g
-        top = np.tanh(c)
+        top = _squash(c)
         h = o * top
         out[t] = h
         tape.append((symbol, before, c_before, i, f, o, g, top))
@@ -181,8 +189,9 @@ def _back(dout: np.ndarray, tape: list, wx: np.ndarray, wh: np.ndarray) -> tuple
     for t in range(len(tape) - 1, -1, -1):
         symbol, before, c_before, i, f, o, g, top = tape[t]
         dh = dh + dout[t]
-        dc = dc + dh * o * (1 - top * top)
-        dz = np.concatenate([dc * g * i * (1 - i), dc * c_before * f * (1 - f), dh * top * o * (1 - o), dc * i * (1 - g * g)])
+        dc = dc + dh * o * _slope(top)
+        gates = np.concatenate([dc * g, dc * c_before, dh * top]) * 0.5 * _slope(2 * np.concatenate([i, f, o]) - 1)
+        dz = np.concatenate([gates, dc * i * _slope(g)])
         dwh += dz @ before.T
         columns.append(symbol)
         grads.append(dz)
@@ -273,47 +282,45 @@ def trained(steps: int = STEPS, seed: int = SEED, units: int = UNITS) -> "Model"
 
 
 class Model:
-    """The trained weights, the gates' halved so that one tanh serves them all."""
+    """The trained weights."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.units = units = p["hf"].shape[1]
-        half = np.ones((4 * units, 1), np.float32)
-        half[: 3 * units] = 0.5
-        self.wx = [np.ascontiguousarray(p[f"x{d}"] * half) for d in "fb"]
-        self.wh = [np.ascontiguousarray(p[f"h{d}"] * half) for d in "fb"]
-        self.out = [np.ascontiguousarray(p[f"o{d}"]) for d in "fb"]
+        self.units = p["hf"].shape[1]
+        self.wx, self.wh, self.out = ([np.ascontiguousarray(p[f"{x}{d}"]) for d in "fb"] for x in "xho")
         self.bias, self.trans = p["bias"], p["trans"]
 
     def emissions(self, s: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Emissions (steps, labels, windows) of windows of the symbols s, the longest first."""
-        steps, many, units = int(length[0]), len(start), self.units
-        live = many - np.searchsorted(length[::-1], np.arange(steps), "right")  # windows with a step t
-        e = np.zeros((steps, K, many), np.float32)
+        steps, many, u = int(length[0]), len(start), self.units
+        live = (many - np.searchsorted(length[::-1], np.arange(steps), "right")).tolist()  # windows with a step t
+        e = np.empty((steps, K, many), np.float32)
+        e[:] = self.bias
+        index, z, work = np.empty(many, np.intp), np.empty((4 * u, many), np.float32), np.empty((4 * u, many), np.float32)
         for d in (0, 1):
-            h, c = np.zeros((units, many), np.float32), np.zeros((units, many), np.float32)
+            hidden, cells = np.zeros((u, many), np.float32), np.zeros((u, many), np.float32)
             wx, wh, out = self.wx[d], self.wh[d], self.out[d]
-            flat = e.transpose(0, 2, 1)  # (steps, windows, labels)
-            rows = np.arange(many)
-            for t in range(steps):
-                n = int(live[t])
-                at = start[:n] + t if d == 0 else start[:n] + length[:n] - 1 - t
-                z = wx.take(s[at], axis=1)
-                z += wh @ h[:, :n]
-                np.tanh(z, out=z)
-                gate = z[: 3 * units]
+            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
+                n = live[t]
+                at, a, b, c, h = index[:n], z[:, :n], work[:, :n], cells[:, :n], hidden[:, :n]
+                if n < many:  # whole rows are faster
+                    a, b = z.ravel()[: 4 * u * n].reshape(4 * u, n), work.ravel()[: 4 * u * n].reshape(4 * u, n)
+                np.add(start[:n], t, out=at)
+                wx.take(s[at], axis=1, out=a, mode="clip")
+                a += np.matmul(wh, h, out=b)
+                np.abs(a, out=b)
+                b += 1
+                a /= b
+                gate = a[: 3 * u]
                 gate *= 0.5
                 gate += 0.5
-                c = c[:, :n]
-                c *= gate[units : 2 * units]
-                z[:units] *= z[3 * units :]
-                c += z[:units]
-                h = np.tanh(c)
-                h *= gate[2 * units :]
-                if d == 0:
-                    e[t, :, :n] += out @ h
-                else:
-                    flat[length[:n] - 1 - t, rows[:n]] += (out @ h).T
-        e += self.bias
+                c *= a[u : 2 * u]
+                np.multiply(a[:u], a[3 * u :], out=b[:u])
+                c += b[:u]
+                np.abs(c, out=b[:u])
+                b[:u] += 1
+                np.divide(c, b[:u], out=h)
+                h *= a[2 * u : 3 * u]
+                e[t, :, :n] += out @ h
         return e
 
     def decode(self, e: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -353,7 +360,7 @@ class Model:
         left = np.where(k > 0, overlap // 2, 0)
         right = np.where(k < many[row] - 1, overlap - overlap // 2, 0)
         order = np.argsort(start - end, kind="stable")
-        for part in np.array_split(order, max(1, int((end - start).sum() // CHUNK))) if len(order) else []:
+        for part in np.array_split(order, -(-int((end - start).sum()) // CHUNK)) if len(order) else []:
             length = (end - start)[part]
             found = self.decode(self.emissions(s, start[part], length), length)
             for j in np.flatnonzero(found.any(axis=1)).tolist():
@@ -382,6 +389,18 @@ def _plausible(kind: int, value: str) -> bool:
 _LOOSE = " \t\r\n.,;:!?\"'#%*$&<>[]{}|="
 
 
+def _whole(kind: int, text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """The span without loose signs at its ends, or the plausible ones of its words where several of a kind touch."""
+    value = text[a:b]
+    low = a + len(value) - len(value.lstrip(_LOOSE))
+    value = value.strip(_LOOSE)
+    if _plausible(kind, value):
+        yield low, low + len(value)
+    elif any(c.isspace() for c in value):
+        for part in re.finditer(r"\S+", value):
+            yield from _whole(kind, text, low + part.start(), low + part.end())
+
+
 def spans_of(texts: pa.Array, model: Model) -> Iterator[tuple[int, int, int, int]]:
     """(row, start, end, kind) of the spans, in characters, by row and start."""
     data, at = tb.buffers(texts)
@@ -400,11 +419,8 @@ def spans_of(texts: pa.Array, model: Model) -> Iterator[tuple[int, int, int, int
         if r not in values:
             values = {r: texts[r].as_py()}
         a, b = a - int(bounds[r]), b - int(bounds[r])
-        value = values[r][a:b]
-        a += len(value) - len(value.lstrip(_LOOSE))
-        value = value.strip(_LOOSE)
-        if _plausible(kind, value):
-            yield r, a, a + len(value), kind
+        for x, y in _whole(kind, values[r], a, b):
+            yield r, x, y, kind
 
 
 SPANS = "doc_id long, start int, end int, kind string"
@@ -422,7 +438,7 @@ def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            found = [(ids[i + r], a, b, KINDS[k]) for i, texts in tb.chunks(tb.string_array(batch.column("text"))) for r, a, b, k in spans_of(texts, model)]
+            found = [(ids[i + r], a, b, KINDS[k]) for i, texts in tb.chunks(tb.string_array(batch.column("text")), CHUNK) for r, a, b, k in spans_of(texts, model)]
             columns = list(zip(*found)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "start", "end", "kind"])
 
@@ -438,7 +454,7 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(where).to_pylist()
-            for i, texts in tb.chunks(tb.string_array(batch.column(where))):
+            for i, texts in tb.chunks(tb.string_array(batch.column(where)), CHUNK):
                 for r, a, b, k in reversed(list(spans_of(texts, model))):
                     values[i + r] = f"{values[i + r][:a]}[{KINDS[k]}]{values[i + r][b:]}"
             columns = [*batch.columns]
