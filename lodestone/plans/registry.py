@@ -34,7 +34,7 @@ def _load() -> None:
 
 
 #: Modules of this package that register queries when they are imported.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("search", "graphs", "metrics")
 
 
 def queries() -> dict[str, Query]:
