@@ -39,6 +39,8 @@ class Trees:
     def __init__(self, samples: dict[str, list[bytes]]):
         self.names = sorted(samples)
         many = len(self.names)
+        if not many:
+            return
         seen = np.unique(np.frombuffer(b"".join(x for s in samples.values() for x in s), np.uint8))
         # symbol 0 stands for all bytes that the samples don't have
         self.symbol = np.zeros(256, np.uint8)
