@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "quality", "line_dedup", "capture_index", "jaccard_join", "language", "packing", "site_style_tree", "audio")
+MODULES = ("decontaminate", "quality", "line_dedup", "capture_index", "jaccard_join", "language", "packing", "site_style_tree", "pii", "audio")
 
 
 def _modules():
