@@ -152,7 +152,7 @@ def banded_distance(a: list[str], b: list[str], tau: int) -> np.ndarray:
     return out
 
 
-def _alike(rows: np.ndarray, length: np.ndarray, most: int = 4 << 20) -> Iterator[np.ndarray]:
+def _alike(rows: np.ndarray, length: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
     """Rows in groups of like length, so that padding stays small."""
     rows = rows[np.argsort(length[rows], kind="stable")]
     i = 0
@@ -164,7 +164,7 @@ def _alike(rows: np.ndarray, length: np.ndarray, most: int = 4 << 20) -> Iterato
 
 
 def _points(strings: list[str], length: np.ndarray, before: int, width: int, pad: int) -> np.ndarray:
-    table = np.full((len(strings), width), pad, np.int64)
+    table = np.full((len(strings), width), pad, np.int32)
     flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
     row = np.repeat(np.arange(len(strings)), length)
     at = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
@@ -272,21 +272,26 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
 def _rebuild(names: list[str]):
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = names.index("text")
-        for batch in batches:
-            texts, totals, numbers = batch.column(where).to_pylist(), [], batch.column(len(names)).to_pylist()
-            kept = []
-            for text, gone in zip(texts, numbers):
-                if text is None:
-                    kept.append(None)
-                    totals.append(0)
-                    continue
-                lines = text.split("\n")
-                totals.append(len(lines))
-                drop = set(gone or ())
-                kept.append("\n".join(x for k, x in enumerate(lines) if k not in drop) if drop else text)
-            columns = [*batch.columns[: len(names)]]
-            columns[where] = pa.array(kept, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int32()), pa.array([len(g or ()) for g in numbers], pa.int32())], [*names, "__lines", "__dropped"])
+        for whole in batches:
+            for i, some in tb.chunks(tb.string_array(whole.column(where))):
+                batch = whole.slice(i, len(some))
+                kept, totals = [], []
+                numbers = batch.column(len(names)).to_pylist()
+                for text, gone in zip(batch.column(where).to_pylist(), numbers):
+                    if text is None:
+                        kept.append(None)
+                        totals.append(0)
+                        continue
+                    if not gone:
+                        kept.append(text)
+                        totals.append(text.count("\n") + 1)
+                        continue
+                    lines, drop = text.split("\n"), set(gone)
+                    totals.append(len(lines))
+                    kept.append("\n".join(x for k, x in enumerate(lines) if k not in drop))
+                columns = [*batch.columns[: len(names)]]
+                columns[where] = pa.array(kept, pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int32()), pa.array([len(g or ()) for g in numbers], pa.int32())], [*names, "__lines", "__dropped"])
 
     return rebuild
 

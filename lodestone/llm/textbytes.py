@@ -29,7 +29,7 @@ _ODD = np.zeros(256, bool)
 _ODD[[0xC2, *range(0xC6, 0x100)]] = True
 
 #: Bytes of text worked on at once; arrays of eight bytes a byte are made of it.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,6 +87,7 @@ def chunks(array: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.
         j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
         yield i, array.slice(i, j - i)
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def fold(array: pa.Array) -> pa.Array:
