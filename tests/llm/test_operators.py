@@ -54,6 +54,30 @@ def test_jaccard_join_finds_what_brute_force_finds(spark):
     assert all((min(e["center"], e["doc_id"]), max(e["center"], e["doc_id"])) in near for e in edges)
 
 
+def test_jaccard_join_finds_pairs_behind_strangers(spark):
+    # short documents of few common words: nearly every lesser id is a stranger
+    r = random.Random(11)
+    known = words(r, 60).split()
+    texts = [" ".join(r.sample(known, r.randint(4, 30))) for _ in range(1500)]
+    long = [" ".join(r.sample(known, 50) + words(r, 60).split()) for _ in range(100)]
+    for t in texts[-100:] + long:
+        copy = t.split()
+        copy[r.randrange(len(copy))] = "another"
+        texts += [t, " ".join(copy)]
+    sets = [set(t.split()) for t in texts]
+    near = set()
+    for (i, x), (j, y) in itertools.combinations(enumerate(sets), 2):
+        if len(x & y) >= 0.8 * len(x | y):
+            near.add((i, j))
+    least = {}
+    for i, x in enumerate(sets):
+        least.setdefault(frozenset(x), i)
+    want = {(i, j) for i, j in near if sets[i] == sets[j] and least[frozenset(sets[i])] == i}
+    want |= {(i, j) for i, j in near if sets[i] != sets[j] and least[frozenset(sets[i])] == i and least[frozenset(sets[j])] == j}
+    edges = jaccard_join.near_duplicate_edges(docs(spark, texts)).collect()
+    assert {(e["center"], e["doc_id"]) for e in edges} == want
+
+
 def test_jaccard_join_edges_of_input(spark, odd):
     kept = {r["doc_id"] for r in jaccard_join.keep_one(odd).collect()}
     assert kept == {None, 0, 1, 2, 3, 5, 7, 8}
