@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Every n-gram of a benchmark item is counted over all documents. Those found in
-at most ``max_share`` of the documents, and the rarest of each item, are seeds. A document that holds a seed
+at most ``max_share`` of the documents, and the rarest of each stretch of an item, however common,
+are seeds. A document that holds a seed
 of an item is aligned with that item, word by word, in the window around each
 group of seeds; the local alignment score, as a share of the item's own score,
 says how much of the item the passage repeats, edited or not.
@@ -27,7 +28,8 @@ from lodestone.operators.durable import durable
 SEED_WORDS = 3
 #: Share of the documents (and at least so many documents) up to which an n-gram is rare.
 MAX_SHARE, MIN_COUNT = 0.001, 20
-#: Seeds that an item has at least, its rarest: where a copy of it is spread over the corpus, none may be rare.
+#: Seeds of every stretch of an item as long as a passage that counts, its rarest: where a part of the
+#: item is spread over the corpus, none of that part may be rare.
 MIN_SEEDS = 8
 #: A passage counts from this share of the item's own alignment score.
 MIN_SCORE = 0.5
@@ -58,8 +60,9 @@ class Items:
             order = np.argsort(g, kind="stable")
             self.tables[m] = (g[order], k[order], o[order])
 
-    def only_rare(self, grams: np.ndarray, counts: np.ndarray, limit: int, at_least: int) -> "Items":
-        """Leaves the n-grams that at most ``limit`` documents have, and the rarest ``at_least`` of each item with those as rare as the last."""
+    def only_rare(self, grams: np.ndarray, counts: np.ndarray, limit: int, at_least: int, min_score: float) -> "Items":
+        """Leaves the n-grams that at most ``limit`` documents have, and of every stretch of ``min_score`` of an item's
+        n-grams the rarest ``at_least`` with those as rare as the last."""
         order = np.argsort(grams)
         grams, counts = grams[order], counts[order]
         for m, (g, k, o) in self.tables.items():
@@ -68,16 +71,35 @@ class Items:
                 n = np.where(grams[place] == g, counts[place], 0)
             else:
                 n = np.zeros(len(g), np.int64)
-            by_item = np.lexsort((n, k))
-            first = np.flatnonzero(np.diff(k[by_item], prepend=-1))
-            last = np.minimum(first + at_least, np.append(first[1:], len(k))) - 1
-            bound = np.zeros(len(self.words), np.int64)
-            bound[k[by_item][first]] = n[by_item][last]
-            keep = (n <= limit) | (n <= bound[k])
+            keep = n <= limit
+            by_item = np.lexsort((o, k))
+            cut = np.flatnonzero(np.diff(k[by_item], prepend=-1))
+            for rows in np.split(by_item, cut[1:]):
+                keep[rows] |= rarest_of_stretches(n[rows], max(1, int(min_score * (len(rows) + m - 1)) - m + 1), at_least)
             self.tables[m] = (g[keep], k[keep], o[keep])
         return self
 
 
+def rarest_of_stretches(n: np.ndarray, length: int, at_least: int) -> np.ndarray:
+    """Which of the counts are among the least ``at_least`` of some run of ``length``, or as small as the last of them."""
+    if not len(n):
+        return np.zeros(0, bool)
+    length = min(length, len(n))
+    keep = np.zeros(len(n), bool)
+    runs = np.lib.stride_tricks.sliding_window_view(n, length)
+    step = max(1, (1 << 22) // length)
+    for a in range(0, len(runs), step):
+        some = runs[a : a + step]
+        last = min(at_least, length) - 1
+        bound = np.partition(some, last, axis=1)[:, last]
+        # a count stays if it is within the bound of some run that it is in
+        most = np.full(len(some) + 2 * (length - 1), np.iinfo(n.dtype).min, n.dtype)
+        most[length - 1 : length - 1 + len(some)] = bound
+        reach = np.lib.stride_tricks.sliding_window_view(most, length).max(axis=1)
+        keep[a : a + len(reach)] |= n[a : a + len(reach)] <= reach
+    return keep
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of n words; empty where there are fewer."""
     if len(words) < n:
@@ -271,7 +293,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, max
             continue
         counted = docs.mapInArrow(_count(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         seen = counted.where(F.col("n") > limit).toPandas()  # no more rows than the slice has n-grams
-        items = items.only_rare(seen["gram"].to_numpy(np.int64).view(np.uint64), seen["n"].to_numpy(np.int64), limit, MIN_SEEDS)
+        items = items.only_rare(seen["gram"].to_numpy(np.int64).view(np.uint64), seen["n"].to_numpy(np.int64), limit, MIN_SEEDS, min_score)
         part = docs.mapInArrow(_emit(items, min_score), "doc_id long, item_id long, score double, end_word long")
         out = part if out is None else out.union(part)
     if out is None:

@@ -154,6 +154,15 @@ def test_smith_waterman_and_contaminated(spark, odd):
     assert decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontaminate_finds_a_part_that_is_often_quoted(spark):
+    r = random.Random(10)
+    item = words(r, 60).split()
+    for part in (item[:36], item[12:48], item[24:]):
+        texts = [f"{words(r, 20)} {' '.join(part)} {words(r, 20)}" for _ in range(40)] + [words(r, 60) for _ in range(10)]
+        bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+        assert {x["doc_id"] for x in decontaminate.contaminated(docs(spark, texts), bench).collect()} == set(range(40))
+
+
 def test_smith_waterman_scores():
     r = np.random.default_rng(1)
     item = r.integers(1, 6, 12).astype(np.uint64)
