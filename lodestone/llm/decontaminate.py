@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from lodestone.llm import textbytes as tb
 from lodestone.operators.durable import durable
 
-#: Words of a seed; items of fewer words are one seed of all their words.
+#: Words of a seed.
 SEED_WORDS = 3
+#: Words that an item has at least; shorter ones are phrases that any text may hold, and are left out.
+MIN_WORDS = 5
 #: Share of the documents (and at least so many documents) up to which an n-gram is rare.
 MAX_SHARE, MIN_COUNT = 0.001, 20
 #: Seeds of every stretch of an item as long as a passage that counts, its rarest: where a part of the
@@ -41,9 +43,9 @@ SLICE_BYTES = 32 << 20
 class Items:
     """Word hashes of benchmark items and the sorted table of their n-grams."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], n: int = SEED_WORDS):
+    def __init__(self, ids: list[int], texts: list[str | None], n: int = SEED_WORDS, min_words: int = MIN_WORDS):
         w = tb.words(tb.string_array(pa.array(texts, pa.string())))
-        some = [k for k in range(len(ids)) if w.first[k + 1] > w.first[k]]
+        some = [k for k in range(len(ids)) if w.first[k + 1] - w.first[k] >= max(1, min_words)]
         self.ids = np.array([ids[k] for k in some], np.int64)
         self.words = [w.hash[w.first[k] : w.first[k + 1]] for k in some]
         lengths = sorted({min(n, len(x)) for x in self.words})
@@ -274,21 +276,22 @@ def _slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[tuple[list[int],
             yield [r["item_id"] for r in rows], [r["text"] for r in rows]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, max_share: float = MAX_SHARE, min_score: float = MIN_SCORE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, max_share: float = MAX_SHARE, min_score: float = MIN_SCORE, slice_bytes: int = SLICE_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, score, end_word): documents that hold a copy of a benchmark item, and how much of it.
 
     score is the best local alignment score of any passage divided by the
     score of the whole item, from min_score to 1; end_word is the place of the
     passage's last word. Rows with null ids, null or empty texts and items
-    without a word give nothing; an empty table on either side gives an empty
+    of fewer than ``min_words`` words give nothing; an empty table on either side gives an empty
     result. Repeated rows of a doc_id give repeated result rows; items with the
-    same text each give their own.
+    same text each give their own. Of passages with equal scores the first counts.
+    Texts of any length are read whole; other columns, whatever their names, don't matter.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     limit = max(MIN_COUNT, int(max_share * docs.count()))
     out = None
     for ids, texts in _slices(benchmark, slice_bytes):
-        items = Items(ids, texts, n)
+        items = Items(ids, texts, n, min_words)
         if not items.tables:
             continue
         counted = docs.mapInArrow(_count(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
