@@ -33,12 +33,15 @@ from lodestone.operators.durable import durable
 THRESHOLD, GAMMA = 0.35, 0.9
 #: Elements nested deeper than this count as children of the element at this depth.
 MAX_DEPTH = 64
+#: Open elements that are looked through for one that an opening tag ends.
+MAX_OPEN = 256
 #: Noisy nodes up to which they are sent to every task (8 bytes each); beyond, they are joined to the pages by a shuffle.
 BROADCAST_NODES = 2_000_000
 
-_TOKEN = re.compile(
-    r"<!--.*?-->|<(script|style|title|noscript|template|iframe)\b[^>]*>.*?</\1\s*>|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S | re.I
-)
+_TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)([^<>\"']*+)(>|[<\"'])?", re.I)
+#: Elements whose content is no text of the page.
+_RAW = frozenset("script style title noscript template iframe".split())
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _ATTRIBUTE = re.compile(r"(class|id|style|align|width|height|bgcolor|href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _VOID = frozenset("area base br col embed hr input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -50,6 +53,77 @@ _CLOSES_P = _BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead",
 _WALLS = frozenset("ul ol dl table td th tr div article section main body html select nav header footer aside form".split())
 
 
+class _Tokens:
+    """The tags of a page, in time that grows with its length: what is known not to follow isn't looked for again."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.missing: set[str] = set()
+
+    def _find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def _end_of_tag(self, at: int) -> int:
+        """The place of the > that ends a tag, from a place in it outside quotes; -1 where there is none."""
+        source, n = self.source, len(self.source)
+        while at < n:
+            c = source[at]
+            if c == ">":
+                return at
+            if c in "\"'":
+                at = self._find(c, at + 1)
+                if at < 0:
+                    return -1
+            at += 1
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """(start, end, whether it closes, name, attributes); no name for what is skipped."""
+        source, at, unended = self.source, 0, False
+        while (start := source.find("<", at)) >= 0:
+            at = start + 1
+            if source.startswith("<!--", start):
+                end = self._find("-->", start + 4)
+                if end >= 0:
+                    at = end + 3
+                    yield start, at, False, "", ""
+                    continue
+            if source.startswith(("<!", "<?"), start):
+                end = self._find(">", start)
+                if end >= 0:
+                    at = end + 1
+                    yield start, at, False, "", ""
+                continue
+            m = _TAG.match(source, start)
+            if not m:
+                continue
+            if m[4] == ">":
+                end = m.end() - 1
+            else:
+                # beyond an attribute in quotes; once no > follows from somewhere, none follows from further on but within quotes
+                end = -1 if unended else self._end_of_tag(m.end(3))
+                if end < 0:
+                    unended = self._find(">", start) < 0
+                    if "\"" in self.missing or "'" in self.missing:
+                        end = self._find(">", start)
+                    if end < 0:
+                        continue
+            name, at = m[2].lower(), end + 1
+            if name in _RAW and not m[1] and f"</{name}" not in self.missing:
+                over = _RAW_END[name].search(source, at)
+                if over:
+                    at = over.end()
+                    yield start, at, False, "", ""
+                    continue
+                self.missing.add(f"</{name}")
+            yield start, at, bool(m[1]), name, source[m.start(3) : end]
+
+
 class Page:
     """The element nodes of a page in document order, with their places in the host's style tree."""
 
@@ -75,9 +149,16 @@ class Page:
         return k
 
     def _parse(self, source: str) -> None:
+        # name, node and the link around: its own, or that of the element above
         stack: list[tuple[str, int, str]] = [("", 0, "")]
+        open_names: dict[str, int] = {}
         broken, last = False, 0
 
+        def cut(i: int) -> None:
+            for name, _, _ in stack[i:]:
+                open_names[name] -= 1
+            del stack[i:]
+
         def run(text: str) -> None:
             nonlocal broken
             if text.isspace() or not text:
@@ -87,42 +168,42 @@ class Page:
             squeezed = " ".join(text.split())
             shown = entities.unescape(squeezed) if "&" in squeezed else squeezed
             shown = (" " if text[0].isspace() else "") + shown + (" " if text[-1].isspace() else "")
-            link = next((x for _, _, x in reversed(stack) if x), "")
+            link = stack[-1][2]
             self._add(stack[-1][1], "#text", shown, broken, (squeezed, f"href:{link}") if link else (squeezed,))
             broken = False
 
-        for m in _TOKEN.finditer(source):
-            if m.start() > last:
-                run(source[last : m.start()])
-            last = m.end()
-            name = m[3]
+        for start, end, closes, name, attributes in _Tokens(source):
+            if start > last:
+                run(source[last:start])
+            last = end
             if not name:
                 continue
-            name = name.lower()
             if name in _BLOCK:
                 broken = True
-            if m[2]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+            if closes:
+                if open_names.get(name):
+                    i = len(stack) - 1
+                    while stack[i][0] != name:
+                        i -= 1
+                    cut(i)
                 continue
             if name in _VOID:
                 continue
             ends = _ENDS.get(name)
             if ends is None and name in _CLOSES_P:
                 ends = {"p"}
-            if ends:
-                for i in range(len(stack) - 1, 0, -1):
+            if ends and any(open_names.get(x) for x in ends):
+                # no further up than an element may be left open by the page's author
+                for i in range(len(stack) - 1, max(0, len(stack) - 1 - MAX_OPEN), -1):
                     if stack[i][0] in ends:
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i][0] in _WALLS:
                         break
             sign, link, image = name, "", ""
-            if m[4]:
+            if attributes:
                 shown = []
-                for a in _ATTRIBUTE.finditer(m[4]):
+                for a in _ATTRIBUTE.finditer(attributes):
                     key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                     if key == "href":
                         link = value
@@ -137,8 +218,9 @@ class Page:
                 continue
             above = stack[-1][1]
             k = self._add(above, sign) if self.depth[above] < MAX_DEPTH else above
-            if not m[4].endswith("/"):
-                stack.append((name, k, link))
+            if not attributes.endswith("/"):
+                stack.append((name, k, link or stack[-1][2]))
+                open_names[name] = open_names.get(name, 0) + 1
         if last < len(source):
             run(source[last:])
 
