@@ -1,12 +1,15 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
-A logistic regression on surface features of the whole text gives each document
-its own evidence, as a log likelihood ratio. The documents' probabilities are
-summed by host and by path of the host; the rate of a path is shrunk towards
-its host's and the rate of a host towards the corpus's, the more the fewer
-documents it has, with strengths estimated from the spread between sites
-(method of moments). The posterior of a document combines its own evidence with
-the shrunk rate of its path.
+A logistic regression on features of the whole text gives each document its own
+evidence, as a log likelihood ratio: surface counts, and how strongly its most
+telling words speak for toxic documents, as half of the labelled ones say; the other
+half fits the regression. A document is good if it is labelled of good quality
+and not toxic. The documents' probabilities are summed by host and by path of the
+host; the rate of a path is shrunk towards its host's and the rate of a host
+towards the corpus's, the more the fewer documents it has, with strengths
+estimated from the spread between sites (method of moments). The posterior of a
+document combines its own evidence with the shrunk rate of its path among the other
+documents: its own evidence is left out of the site's, so that it counts once.
 
 ``source`` is read as host/path; the path is its first segment, with the
 language as the section of a source that has none.
@@ -20,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.llm import textbytes as tb
 from lodestone.operators.durable import durable
@@ -31,8 +35,10 @@ KEEP_FROM = 0.5
 #: Sites up to which their rates are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SITES = 500_000
 
-FEATURES = ("words", "distinct", "repeats", "upper", "symbols", "digits", "pauses", "spaces", "length", "pipes", "marked")
-_MASK = np.uint64((1 << 21) - 1)
+#: Buckets of hashed words, and the labelled documents that a word must be in to speak at all.
+BUCKETS, LEAST_DOCS = 1 << 18, 4
+
+FEATURES = ("words", "distinct", "repeats", "upper", "symbols", "digits", "pauses", "spaces", "length", "pipes", "marked", "toxic")
 
 
 def _packed(*classes: bytes) -> np.ndarray:
@@ -45,23 +51,36 @@ def _packed(*classes: bytes) -> np.ndarray:
 _UPPER, _LOWER = bytes(range(65, 91)), bytes([*range(97, 123), *range(0xC3, 0xF5)])
 _PAUSE, _SPACE = b".,;:?!'\"-()", b" \t\r\n"
 _OTHER = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in _PAUSE + b"|_")
-_TABLES = (_packed(_UPPER, _LOWER, _OTHER), _packed(b"0123456789", _PAUSE, _SPACE), _packed(b"|", b"!", b"\n"))
+_CLASSES = ((_UPPER, _LOWER, _OTHER), (b"0123456789", _PAUSE, _SPACE), (b"|", b"!", b"\n"))
+_MASK = np.uint64((1 << 21) - 1)
+_TABLES = tuple(_packed(*c) for c in _CLASSES)
+
 
+def _counted(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Bytes of each of the nine classes in each row; three counters share a word where no row is too long for it."""
+    if np.diff(at).max(initial=0) <= int(_MASK):
+        counts = []
+        for table in _TABLES:
+            total = np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data])])[at])
+            counts += [((total >> np.uint64(21 * k)) & _MASK).astype(float) for k in range(3)]
+        return counts
+    return [np.array([np.isin(data[x:y], np.frombuffer(c, np.uint8)).sum() for x, y in zip(at[:-1].tolist(), at[1:].tolist())], float) for three in _CLASSES for c in three]
 
-def features(texts: pa.Array) -> np.ndarray:
-    """One row of FEATURES for each text; zeros for a text without a word."""
+
+def features(texts: pa.Array, toxic: np.ndarray | None = None) -> np.ndarray:
+    """One row of FEATURES for each text; zeros for a text without a word. toxic: weights of the buckets of words."""
     data, at = tb.buffers(texts)
-    counts = []
-    for table in _TABLES:
-        total = np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data])])[at])
-        counts += [((total >> np.uint64(21 * k)) & _MASK).astype(float) for k in range(3)]
-    upper, lower, other, digits, pauses, spaces, pipes, bangs, _ = counts
+    upper, lower, other, digits, pauses, spaces, pipes, bangs, _ = _counted(data, at)
     w = tb.words(texts)
     n = np.diff(w.first).astype(float)
-    _, bounds = tb.distinct_by_row(w.hash, w.first)
+    held, bounds = tb.distinct_by_row(w.hash, w.first)
     same = np.concatenate([[0], np.cumsum(w.hash[1:] == w.hash[:-1])]) if len(w.hash) else np.zeros(1)
     last, first = np.maximum(w.first[1:] - 1, 0), np.minimum(w.first[:-1], max(len(w.hash) - 1, 0))
     repeats = np.where(n > 1, same[last] - same[first], 0)
+    worst = np.zeros(len(n))
+    if toxic is not None and len(held):
+        some = np.flatnonzero(n)
+        worst[some] = np.maximum(0, np.maximum.reduceat(toxic[bucket_of(held)], bounds[:-1][some]))
     some = np.maximum(n, 1)
     size = np.maximum(np.diff(at).astype(float), 1)
     x = np.stack(
@@ -77,6 +96,7 @@ def features(texts: pa.Array) -> np.ndarray:
             (upper + lower) / some,
             np.minimum(pipes / some, 2),
             np.minimum(bangs / some, 3),
+            worst,
         ],
         axis=1,
     )
@@ -84,6 +104,20 @@ def features(texts: pa.Array) -> np.ndarray:
     return x
 
 
+def bucket_of(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def toxic_weights(found: np.ndarray, toxic: int, other: int) -> np.ndarray:
+    """Log odds of each bucket's words, from how many toxic and other documents have them (rows bucket, toxic, other); 0 for rare ones."""
+    out = np.zeros(BUCKETS, np.float32)
+    if len(found) and toxic and other:
+        bucket, a, b = found.T
+        said = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (other + 1))
+        out[bucket] = np.where(a + b >= LEAST_DOCS, said, 0)
+    return out
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> dict:
     """Ridge logistic regression by Newton steps; intercept last. Without both classes the evidence is nil."""
     rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
@@ -112,51 +146,75 @@ def evidence(x: np.ndarray, model: dict) -> np.ndarray:
     return np.where(x.any(axis=1), np.clip(z - model["prior"], -20, 20), 0.0)
 
 
-def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, toxic, other): how many documents of a batch have a word of the bucket; bucket -1 counts the documents."""
     for batch in batches:
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = np.zeros((2, BUCKETS), np.int64)
         for i, texts in tb.chunks(tb.string_array(batch.column("text"))):
-            x = features(texts)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("good").slice(i, len(texts)), lists], ["good", "x"])
+            w = tb.words(texts)
+            held, bounds = tb.distinct_by_row(bucket_of(w.hash), w.first)
+            np.add.at(counts, (np.repeat(toxic[i : i + len(texts)], np.diff(bounds)), held), 1)
+        some = np.flatnonzero(counts.any(axis=0))
+        rows = np.concatenate([[[-1, toxic.sum(), len(toxic) - toxic.sum()]], np.stack([some, counts[1, some], counts[0, some]], 1)])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], ["bucket", "toxic", "other"])
+
+
+def _features_of(toxic: np.ndarray):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, texts in tb.chunks(tb.string_array(batch.column("text"))):
+                x = features(texts, toxic)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column("good").slice(i, len(texts)), lists], ["good", "x"])
+
+    return emit
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict:
-    """The regression, fitted on at most ``max_labelled`` labelled documents.
+    """The weights of words and the regression, fitted on at most ``max_labelled`` labelled documents, half of them each.
 
-    Labels with a null are left out; of several labels of a document, the worst counts.
+    Labels with a null quality or doc_id are left out, a null toxic counts as 0;
+    of several labels of a document, the worst counts.
     """
     some = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
-        .agg(F.min("quality").alias("good"))
+        .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
+        .select("doc_id", "toxic", F.when(F.col("toxic") > 0, 0).otherwise(F.col("quality")).cast("int").alias("good"), (F.xxhash64("doc_id") % 2 == 0).alias("for_words"))
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "good")
-    table = rows.mapInArrow(_features_of, "good int, x array<double>").toPandas()
+    rows = durable(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").select("text", "toxic", "good", "for_words"))
+    found = rows.where("for_words").select("text", "toxic").mapInArrow(_words_of, "bucket long, toxic long, other long")
+    found = found.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas().to_numpy(np.int64)
+    whole = found[found[:, 0] < 0][:, 1:].sum(axis=0)
+    toxic = toxic_weights(found[found[:, 0] >= 0], *whole.tolist())
+    table = rows.where("not for_words").select("text", "good").mapInArrow(_features_of(toxic), "good int, x array<double>").toPandas()
     x = np.stack(table["x"].to_list()) if len(table) else np.zeros((0, len(FEATURES)))
     order = np.lexsort(x.T)
-    return fit(x[order], table["good"].to_numpy(float)[order])
+    return fit(x[order], table["good"].to_numpy(float)[order]) | {"toxic": toxic}
 
 
-def _score(model: dict, names: list[str]):
+def _score(model: dict):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = tb.string_array(batch.column(names.index("text")))
+            row = batch.column(0)
+            texts = tb.string_array(row.field("text"))
             llr, blank = np.zeros(len(texts)), np.zeros(len(texts), bool)
             for i, part in tb.chunks(texts):
-                x = features(part)
+                x = features(part, model["toxic"])
                 llr[i : i + len(part)] = evidence(x, model)
                 blank[i : i + len(part)] = ~x.any(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(blank, np.nan, llr))], [*names, "__llr"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(blank, np.nan, llr))], [*batch.schema.names, "llr"])
 
     return score
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``__llr``, the document's own evidence (NaN for a text without a word)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_score(model, docs.columns), f"{schema}, `__llr` double")
+    """(doc, host, path, llr): each row of ``docs`` as one struct, with its place and its own evidence (NaN for a text without a word)."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), _host().alias("host"), _path().alias("path"))
+    return rows.mapInArrow(_score(model), StructType([*rows.schema.fields, StructField("llr", DoubleType())]))
 
 
 def _host() -> Column:
@@ -179,44 +237,52 @@ def _strength(groups: DataFrame, mean: str, n: str, of: str) -> Column:
 
 
 def site_rates(rows: DataFrame, prior: float) -> DataFrame:
-    """(host, path, n, rate): the shrunk share of good documents of each path, from rows (host, path, __llr)."""
-    p = F.expr(f"1 / (1 + exp(-(__llr + {prior!r})))")
-    paths = durable(rows.where("not isnan(__llr)").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")))
+    """(host, path, n, s, host_n, host_s, overall, kh, kp) of each path, from rows (host, path, llr).
+
+    n and s: documents and their summed probability of being good; kh and kp: the
+    strengths with which hosts are drawn to the corpus's rate and paths to their host's.
+    """
+    p = F.expr(f"1 / (1 + exp(-(llr + {prior!r})))")
+    paths = durable(rows.where("not isnan(llr)").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")))
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     rate = (total["s"] + 0.5) / (total["n"] + 1) if total["n"] else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
     hosts = durable(hosts.withColumns({"overall": F.lit(float(rate)), "host_mean": F.col("host_s") / F.col("host_n")}))
     kh = hosts.agg(_strength(hosts, "host_mean", "host_n", "overall").alias("k")).first()["k"] or 1.0
     hosts = hosts.withColumn("host_rate", (F.col("host_s") + F.lit(kh * rate)) / (F.col("host_n") + F.lit(kh)))
-    both = paths.join(hosts.select("host", "host_rate"), "host").withColumn("path_mean", F.col("s") / F.col("n"))
+    both = paths.join(hosts, "host").withColumn("path_mean", F.col("s") / F.col("n"))
     kp = both.agg(_strength(both, "path_mean", "n", "host_rate").alias("k")).first()["k"] or 1.0
-    return both.select("host", "path", "n", ((F.col("s") + kp * F.col("host_rate")) / (F.col("n") + kp)).alias("rate"))
+    return both.select("host", "path", "n", "s", "host_n", "host_s", "overall", F.lit(float(kh)).alias("kh"), F.lit(float(kp)).alias("kp"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``docs`` with __host, __path, __llr, __rate and __posterior.
+    """(doc, host, path, llr, rate, posterior): every row of ``docs`` as the struct doc, and what is made of it.
 
     A null source or language counts as an empty one. A null or empty text, or
-    one without a word, gets a posterior of 0. Rows are judged one by one, so
+    one without a word, gets a posterior of 0 and no rate. Rows are judged one by one, so
     repeated rows get the same posterior, and a null doc_id is judged like any
     other. Without labels of both kinds there is no evidence and every text with a
-    word gets the rate of its site. Other columns are carried along, whatever their names.
+    word gets the rate of its site. An empty table gives an empty result. Other
+    columns are carried along in doc, whatever their names. Texts of any length are read whole.
     """
     model = train(docs, labels, max_labelled)
-    place = docs.withColumns({"__host": _host(), "__path": _path()})
-    bare = docs.select("text", _host().alias("host"), _path().alias("path"))
-    rates = durable(site_rates(scored(bare, model), float(model["prior"])))
-    sites = rates.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("rate").alias("__rate"))
-    if rates.count() <= BROADCAST_SITES:
-        sites = F.broadcast(sites)
-    logit = F.expr("ln(__rate / (1 - __rate)) + __llr")
-    whole = scored(place, model).join(sites, ["__host", "__path"], "left")
-    return whole.withColumn("__posterior", F.when(F.isnan("__llr"), 0.0).otherwise(1 / (1 + F.exp(-logit))))
+    prior = float(model["prior"])
+    bare = docs.select("text", *(F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang")))
+    rates = durable(site_rates(scored(bare, model), prior))
+    sites = F.broadcast(rates) if rates.count() <= BROADCAST_SITES else rates
+    own = F.expr(f"1 / (1 + exp(-(llr + {prior!r})))")
+    whole = scored(docs, model).join(sites, ["host", "path"], "left").withColumn("own", F.when(F.isnan("llr"), None).otherwise(own))
+    # what the other documents of the host and the path say
+    host_rate = F.expr("(host_s - own + kh * overall) / (host_n - 1 + kh)")
+    rate = (F.col("s") - F.col("own") + F.col("kp") * host_rate) / (F.col("n") - 1 + F.col("kp"))
+    whole = whole.withColumn("rate", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), rate)))
+    logit = F.expr("ln(rate / (1 - rate)) + llr")
+    return whole.select("doc", "host", "path", "llr", "rate", F.when(F.isnan("llr"), 0.0).otherwise(1 / (1 + F.exp(-logit))).alias("posterior"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents whose posterior is at least ``keep_from``, with the columns they had."""
-    return judged(docs, labels).where(F.col("__posterior") >= keep_from).select(docs.columns)
+    return judged(docs, labels).where(F.col("posterior") >= keep_from).select("doc.*")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,13 +291,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = judged(docs.select("doc_id", "text", "source", "lang"), labels)
     return out.select(
-        "doc_id",
-        F.col("__host").alias("host"),
-        F.col("__path").alias("path"),
-        F.round("__llr", 6).alias("evidence"),
-        F.round("__rate", 6).alias("site_rate"),
-        F.round("__posterior", 6).alias("posterior"),
-        (F.col("__posterior") >= KEEP_FROM).alias("keep"),
+        "doc.doc_id",
+        "host",
+        "path",
+        F.round("llr", 6).alias("evidence"),
+        F.round("rate", 6).alias("site_rate"),
+        F.round("posterior", 6).alias("posterior"),
+        (F.col("posterior") >= KEEP_FROM).alias("keep"),
     )
 
 
