@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lodestone.llm import textbytes as tb
@@ -269,46 +270,46 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
 
 
-def _rebuild(names: list[str]):
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = names.index("text")
-        for whole in batches:
-            for i, some in tb.chunks(tb.string_array(whole.column(where))):
-                batch = whole.slice(i, len(some))
-                kept, totals = [], []
-                numbers = batch.column(len(names)).to_pylist()
-                for text, gone in zip(batch.column(where).to_pylist(), numbers):
-                    if text is None:
-                        kept.append(None)
-                        totals.append(0)
-                        continue
-                    if not gone:
-                        kept.append(text)
-                        totals.append(text.count("\n") + 1)
-                        continue
-                    lines, drop = text.split("\n"), set(gone)
-                    totals.append(len(lines))
-                    kept.append("\n".join(x for k, x in enumerate(lines) if k not in drop))
-                columns = [*batch.columns[: len(names)]]
-                columns[where] = pa.array(kept, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int32()), pa.array([len(g or ()) for g in numbers], pa.int32())], [*names, "__lines", "__dropped"])
-
-    return rebuild
+def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, kept, n_lines, n_dropped) from (doc, numbers)."""
+    for whole in batches:
+        texts = whole.column(0).field("text")
+        for i, some in tb.chunks(tb.string_array(texts)):
+            batch = whole.slice(i, len(some))
+            kept, totals = [], []
+            numbers = batch.column(1).to_pylist()
+            for text, gone in zip(texts.slice(i, len(some)).to_pylist(), numbers):
+                if text is None:
+                    kept.append(None)
+                    totals.append(0)
+                    continue
+                if not gone:
+                    kept.append(text)
+                    totals.append(text.count("\n") + 1)
+                    continue
+                lines, drop = text.split("\n"), set(gone)
+                totals.append(len(lines))
+                kept.append("\n".join(x for k, x in enumerate(lines) if k not in drop))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(kept, pa.string()), pa.array(totals, pa.int32()), pa.array([len(g or ()) for g in numbers], pa.int32())], ["doc", "kept", "n_lines", "n_dropped"]
+            )
 
 
 def deduplicated(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the text without its repeated lines, and with __lines and __dropped, the counts.
+    """(doc, kept, n_lines, n_dropped): every row of ``docs`` as the struct doc, its text without its repeated lines, and the counts.
 
     Blank lines are never dropped. Lines of fewer than ``min_chars`` characters go
     only if an equal line occurs earlier. doc_id is taken to be unique; of repeated
     rows of a doc_id all lose the same lines. Rows with a null doc_id or text stay as
-    they are and make no other line go. Other columns are carried along.
+    they are and make no other line go. An empty table gives an empty result. Other
+    columns are carried along in doc, whatever their names. Texts of any length are read whole.
     """
-    gone = durable(dropped_lines(docs, tau, min_chars)).select(F.col("doc_id").alias("__doc"), F.col("numbers").alias("__numbers"))
-    side = F.broadcast(gone) if (gone.agg(F.sum(F.size("__numbers"))).first()[0] or 0) <= BROADCAST_ROWS else gone
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    joined = docs.join(side, docs["doc_id"] == side["__doc"], "left").drop("__doc")
-    return joined.mapInArrow(_rebuild(docs.columns), f"{schema}, `__lines` int, `__dropped` int")
+    gone = durable(dropped_lines(docs, tau, min_chars)).select(F.col("doc_id").alias("id"), "numbers")
+    side = F.broadcast(gone) if (gone.agg(F.sum(F.size("numbers"))).first()[0] or 0) <= BROADCAST_ROWS else gone
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    joined = rows.join(side, F.col("doc.doc_id") == F.col("id"), "left").select("doc", "numbers")
+    made = [StructField("kept", StringType()), StructField("n_lines", IntegerType()), StructField("n_dropped", IntegerType())]
+    return joined.mapInArrow(_rebuild, StructType([rows.schema["doc"], *made]))
 
 
 def drop_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -316,17 +317,22 @@ def drop_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CH
 
     A document of which no visible character is left, though it had some, goes.
     """
-    out = deduplicated(docs, tau, min_chars).where(r"__dropped = 0 or text rlike '[^\\s]'")
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return out.select(docs.columns)
+    out = deduplicated(docs, tau, min_chars).where(r"n_dropped = 0 or kept rlike '[^\\s]'")
+    columns = []
+    for name, kind in docs.dtypes:
+        value = F.col(f"doc.`{name}`")
+        if name == "text":
+            value = F.col("kept")
+        elif name == "n_chars":
+            value = F.when(F.col("n_dropped") > 0, F.length("kept")).otherwise(value).cast(kind)
+        columns.append(value.alias(name))
+    return out.select(columns)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after line dedup, and how many of its lines went."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return deduplicated(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), "text")
+    return deduplicated(docs).select("doc.doc_id", "n_lines", "n_dropped", F.col("kept").alias("text"))
 
 
 QUERIES = {"op4_line_dedup": op4_line_dedup}
