@@ -26,6 +26,8 @@ from lodestone.operators.durable import durable
 
 #: Pages carry no capture time; the crawl clock ticks so many seconds a page_id from this instant on.
 CLOCK_START, CLOCK_STEP = 1_704_067_200, 37
+#: Compressed bytes taken at once, and the bytes that a record's headers may take.
+FEED, HEAD = 1 << 16, 1 << 16
 
 
 def url_key(url: Column) -> Column:
@@ -203,37 +205,86 @@ def write_warc(pages: DataFrame, folder: str) -> None:
     rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
+def _members(data: bytes) -> Iterator[bytes]:
+    """The contents of a file's gzip members, one by one; of a file that isn't gzipped, the file."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while at < len(data):
+        member, out = zlib.decompressobj(31), []
+        while not member.eof and at < len(data):
+            out.append(member.decompress(view[at : at + FEED]))
+            at += min(FEED, len(data) - at)
+        at -= len(member.unused_data)
+        yield b"".join(out)
+        if view[at : at + 2] != b"\x1f\x8b":
+            return  # padding behind the last member
+
+
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and payloads of the gzip members of a WARC file."""
-    while data:
-        member = zlib.decompressobj(31)
-        body = member.decompress(data)
-        data = member.unused_data
-        stream = io.BytesIO(body)
-        if not stream.readline().startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
-        headers = {}
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            name, _, value = line.decode().partition(":")
-            headers[name.strip().lower()] = value.strip()
-        yield headers, stream.read(int(headers["content-length"]))
+    """Headers and payloads of the records of a WARC file; several may share a gzip member."""
+    for body in _members(data):
+        at = 0
+        while True:
+            while body[at : at + 1] in (b"\r", b"\n"):
+                at += 1
+            if at >= len(body):
+                break
+            stream = io.BytesIO(body[at : at + HEAD])
+            if not stream.readline().startswith(b"WARC/"):
+                raise ValueError("not a WARC record")
+            headers: dict[str, str] = {}
+            while (line := stream.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                headers[name.strip().lower()] = value.strip()
+            start = at + stream.tell()
+            at = start + int(headers.get("content-length") or 0)
+            yield headers, body[start:at]
+
+
+def _content(headers: dict[str, str], payload: bytes) -> str:
+    """The text of a record, without the HTTP head of a response, in the charset that it names or else UTF-8; bytes that don't fit are replaced."""
+    kind = headers.get("content-type", "")
+    if headers.get("warc-type", "").lower() == "response":
+        head, _, payload = payload.partition(b"\r\n\r\n")
+        kind = next((x.partition(b":")[2].decode("latin-1") for x in head.split(b"\r\n") if x.lower().startswith(b"content-type:")), "")
+    charset = kind.lower().partition("charset=")[2].partition(";")[0].strip(" \"'") or "utf-8"
+    try:
+        return payload.decode(charset, "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, url, ts, html) of the records in .warc.gz files; one task reads whole files."""
+    """(record_id, page_id, url, ts, html) of the response and resource records in .warc and .warc.gz files; one task reads whole files.
+
+    page_id is null but in records that ``write_warc`` wrote; headers that a
+    record lacks are null. Records of other types are passed over.
+    """
+    names = ["record_id", "page_id", "url", "ts", "html"]
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                rows = [
-                    (int(h["warc-record-id"].rstrip(">").rpartition(":")[2]), h["warc-target-uri"], "".join(c for c in h["warc-date"] if c.isdigit()), p.decode())
-                    for h, p in _records(content.as_py())
-                ]
-                columns = list(zip(*rows)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string()))], ["page_id", "url", "ts", "html"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
-    return files.mapInArrow(parse, "page_id long, url string, ts string, html string")
+                rows: list[tuple] = []
+                for h, p in _records(content.as_py()):
+                    if h.get("warc-type", "").lower() not in ("response", "resource"):
+                        continue
+                    record = h.get("warc-record-id", "").strip("<>")
+                    own = record.removeprefix("urn:page:")
+                    page_id = int(own) if own != record and own.lstrip("-").isdigit() else None
+                    ts = "".join(c for c in h.get("warc-date", "").partition(".")[0] if c.isdigit())
+                    rows.append((record or None, page_id, h.get("warc-target-uri"), ts or None, _content(h, p)))
+                    if len(rows) >= 256:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("content")
+    return files.mapInArrow(parse, "record_id string, page_id long, url string, ts string, html string")
 
 
 def op5_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
