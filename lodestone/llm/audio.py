@@ -37,9 +37,14 @@ def read_wav(data: bytes | None) -> tuple[int, np.ndarray] | None:
     try:
         with wave.open(io.BytesIO(data)) as w:
             width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
-            raw = w.readframes(w.getnframes())
+            x = _samples(w.readframes(w.getnframes()), width, channels)
     except (wave.Error, EOFError, RuntimeError):
         return None
+    return None if x is None else (rate, x)
+
+
+def _samples(raw: bytes, width: int, channels: int) -> np.ndarray | None:
+    """One channel of samples between -1 and 1; None for a width that PCM doesn't have."""
     raw = raw[: len(raw) // (width * channels) * (width * channels)]
     if width == 1:
         x = np.frombuffer(raw, np.uint8).astype(np.float32) / 128 - 1
@@ -52,7 +57,7 @@ def read_wav(data: bytes | None) -> tuple[int, np.ndarray] | None:
         x = (np.frombuffer(raw, "<i4") / (1 << 31)).astype(np.float32)
     else:
         return None
-    return rate, x.reshape(-1, channels).mean(axis=1, dtype=np.float32) if channels > 1 else x
+    return x.reshape(-1, channels).mean(axis=1, dtype=np.float32) if channels > 1 else x
 
 
 def write_wav(samples: np.ndarray, rate: int) -> bytes:
@@ -119,13 +124,37 @@ def pairs(frame: np.ndarray, bin_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[order], h[order]
 
 
-def fingerprint(data: bytes | None) -> tuple[int, int, np.ndarray, np.ndarray] | None:
-    """(rate, samples, frame numbers, hashes) of a WAV, or None."""
-    got = read_wav(data)
-    if got is None:
+def fingerprint(data: bytes | None, block: int = BLOCK) -> tuple[int, int, np.ndarray, np.ndarray] | None:
+    """(rate, samples, frame numbers, hashes) of a WAV, or None.
+
+    The recording is read and transformed ``block`` frames at once, with the few
+    around them that their peaks are held against; only the peaks stay.
+    """
+    if not data:
+        return None
+    try:
+        with wave.open(io.BytesIO(data)) as w:
+            width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
+            if _samples(b"", width, channels) is None:
+                return None
+            total, step = 0, HOP * block
+            while n := len(w.readframes(step)) // (width * channels):
+                total += n
+            many = -(-max(0, total - FRAME) // HOP) + 1 if total else 0
+            frames, bins = [], []
+            for k in range(0, many, block):
+                a, b = max(0, k - NEAR_FRAMES), min(many, k + block + NEAR_FRAMES)
+                w.setpos(a * HOP)
+                part = _samples(w.readframes(min(total - a * HOP, (b - a - 1) * HOP + FRAME)), width, channels)
+                spectrum = stft(np.concatenate([part, np.zeros((b - a - 1) * HOP + FRAME - len(part), np.float32)]))
+                frame, bin_ = peaks(spectrum)
+                own = (frame + a >= k) & (frame + a < k + block)
+                frames.append(frame[own] + a)
+                bins.append(bin_[own])
+    except (wave.Error, EOFError, RuntimeError):
         return None
-    rate, x = got
-    return rate, len(x), *pairs(*peaks(stft(x)))
+    none = np.zeros(0, np.int64)
+    return rate, total, *pairs(np.concatenate([none, *frames]), np.concatenate([none, *bins]))
 
 
 PRINTS = "rate int, n_samples long, n_pairs int, times array<int>, hashes array<long>"
@@ -137,6 +166,8 @@ def fingerprints(media: DataFrame, key: str, column: str) -> DataFrame:
     Null bytes and bytes that aren't a PCM WAV give null for all but the key, a WAV
     without samples or peaks gives empty arrays. Rows are answered one by one,
     null keys and repeated rows too; other columns, whatever their names, don't matter.
+    An empty table gives an empty result. Recordings of any length are read whole,
+    a block of frames at once; of equally loud neighbours all are peaks.
     """
     kind = media.schema[key].dataType.simpleString()
 
