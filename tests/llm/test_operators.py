@@ -1,7 +1,9 @@
 """Each operator against brute force, and its edge cases: nulls, empty, long, tied and repeated rows, clashing columns."""
 
+import gzip
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -69,13 +71,53 @@ def test_jaccard_join_finds_pairs_behind_strangers(spark):
     for (i, x), (j, y) in itertools.combinations(enumerate(sets), 2):
         if len(x & y) >= 0.8 * len(x | y):
             near.add((i, j))
-    least = {}
-    for i, x in enumerate(sets):
-        least.setdefault(frozenset(x), i)
-    want = {(i, j) for i, j in near if sets[i] == sets[j] and least[frozenset(sets[i])] == i}
-    want |= {(i, j) for i, j in near if sets[i] != sets[j] and least[frozenset(sets[i])] == i and least[frozenset(sets[j])] == j}
-    edges = jaccard_join.near_duplicate_edges(docs(spark, texts)).collect()
-    assert {(e["center"], e["doc_id"]) for e in edges} == want
+    rows = docs(spark, texts).repartition(5)
+    want = components(near, len(texts))
+    edges = jaccard_join.near_duplicate_edges(rows).collect()
+    assert {tuple(sorted((e["center"], e["doc_id"]))) for e in edges} <= near
+    assert components([(e["center"], e["doc_id"]) for e in edges], len(texts)) == want
+
+
+def components(pairs, n):
+    """The groups of two or more that pairs of numbers below n make."""
+    label = list(range(n))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        label[y] = x
+    groups = {}
+    for x in range(n):
+        groups.setdefault(root(x), set()).add(x)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+@pytest.mark.parametrize("parts, part, known", [(1, 1 << 16, 1 << 20), (32, 3, 1 << 20), (7, 3, 0)])
+def test_jaccard_join_groups_are_those_of_all_pairs(spark, monkeypatch, parts, part, known):
+    # whatever the partitions, the length of a list's rows and the way the labels travel
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    monkeypatch.setattr(jaccard_join, "LABELS", known)
+    r = random.Random(21)
+    texts = []
+    for size, copies in ((12, 25), (40, 40), (150, 30), (90, 1), (7, 6)):
+        base = words(r, size).split()
+        for _ in range(copies):
+            # a copy of a copy now and then, so that not all are like the first
+            copy = list(r.choice(texts[-5:]).split() if texts and r.random() < 0.3 and len(texts[-1].split()) == size else base)
+            for _ in range(r.randint(0, max(1, size // 12))):
+                copy[r.randrange(size)] = words(r, 1)
+            texts.append(" ".join(copy))
+    r.shuffle(texts)
+    sets = [set(t.split()) for t in texts]
+    near = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {}
+    for x in jaccard_join.near_duplicate_groups(docs(spark, texts).repartition(parts)).collect():
+        got.setdefault(x["group_id"], set()).add(x["doc_id"])
+    assert {frozenset(g) for g in got.values()} == components(near, len(texts))
 
 
 def test_jaccard_join_edges_of_input(spark, odd):
@@ -136,6 +178,15 @@ def test_line_dedup_edges_of_input(spark, odd):
     assert out.limit(0).count() == 0 and line_dedup.drop_repeated_lines(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_carries_any_columns(spark):
+    d = docs(spark, ["one line of some length here\nb", "one line of some length here\nc"]).withColumnsRenamed({"host": "__dropped", "lang": "__doc", "grams": "kept", "source": "doc", "bucket": "numbers"})
+    out = line_dedup.drop_repeated_lines(d)
+    assert out.columns == d.columns
+    assert [(x["doc_id"], x["text"], x["n_chars"], x["__dropped"], x["doc"]) for x in out.orderBy("doc_id").collect()] == [
+        (0, "one line of some length here\nb", 30, "x", "site/a"), (1, "c", 1, "x", "site/a")
+    ]
+
+
 # --- 1: decontamination ---
 
 
@@ -154,6 +205,35 @@ def test_smith_waterman_and_contaminated(spark, odd):
     assert decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontaminate_is_what_aligning_all_with_all_finds(spark):
+    r = random.Random(12)
+    items = [words(r, n) for n in (5, 6, 12, 30, 30, 70)] + ["the", "a b", words(r, 4)]
+    items[4] = items[3]  # a tie: both are found
+    texts = [words(r, 50) + " the a b" for _ in range(10)]
+    for item in items[:6] + items[8:]:
+        w = item.split()
+        for share in (1.0, 0.8, 0.55, 0.3):
+            part = w[: max(1, round(len(w) * share))]
+            if len(part) > 8:
+                part[r.randrange(2, len(part) - 2)] = "edited"
+            texts.append(f"{words(r, 20)} {' '.join(part)} {words(r, 20)}")
+
+    def best(a, b):
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+        return h.max() / (2 * len(a))
+
+    want = {}
+    for k, item in enumerate(items):
+        for d, text in enumerate(texts):
+            if len(item.split()) >= decontaminate.MIN_WORDS and (score := best(item.split(), text.split())) >= 0.5:
+                want[d, k] = score
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert got == pytest.approx(want) and any(d < 10 for d, _ in want) is False
+
+
 def test_decontaminate_finds_a_part_that_is_often_quoted(spark):
     r = random.Random(10)
     item = words(r, 60).split()
@@ -188,6 +268,33 @@ def test_packing_loses_nothing(spark, odd):
     assert sum(sizes) / 50 / len(bins) > 0.97
     here = sorted(set(sizes[:20]))
     left = {s: [i for i, x in enumerate(sizes[:20]) if x == s] for s in here}
+
+    def plain(sizes, capacity):
+        rest, bins = set(range(len(sizes))), []
+
+        def take(size):
+            i = min(i for i in rest if sizes[i] == size)
+            rest.remove(i)
+            return i
+
+        while rest:
+            content, gap = [], capacity
+            while fits := [sizes[i] for i in rest if sizes[i] <= gap]:
+                content.append(take(max(fits)))
+                gap -= max(fits)
+            if len(content) > 1 and gap:
+                small = sizes[content[-1]]
+                two = [(sizes[i] + sizes[j], max(sizes[i], sizes[j]), min(sizes[i], sizes[j])) for i, j in itertools.combinations(rest, 2)]
+                total, a, b = max((x for x in two if x[0] <= gap + small), default=(0, 0, 0))
+                if total > small:
+                    rest.add(content.pop())
+                    content += [take(a), take(b)]
+            bins.append(content)
+        return bins
+
+    for _ in range(60):  # ties are common among so few sizes
+        some = [r.randint(1, 25) for _ in range(r.randint(0, 40))]
+        assert packing.best_two_fit(some, 30) == plain(some, 30)
     for room in range(1, 100):
         sums = [sizes[i] + sizes[j] for i, j in itertools.combinations(range(20), 2) if sizes[i] + sizes[j] <= room]
         assert sum(packing.best_pair(here, left, room)) == max(sums, default=0)
@@ -215,9 +322,57 @@ def test_quality_learns_and_shrinks(spark, odd):
     out = quality.drop_low_quality(odd, labels)
     assert out.columns == odd.columns and {1, 2, 0}.isdisjoint({x["doc_id"] for x in out.collect()})
     assert quality.drop_low_quality(odd.limit(0), labels).count() == 0 and quality.drop_low_quality(d, labels.limit(0)).count() == 120
-    rows = spark.createDataFrame([("h", "p", 4.0)] * 100 + [("h", "q", -4.0)] + [("g", "r", -4.0)] * 100, "host string, path string, __llr double")
-    rate = {x["path"]: x["rate"] for x in quality.site_rates(rows, 0.0).collect()}
-    assert rate["p"] > 0.9 and rate["r"] < 0.1 and rate["r"] < rate["q"]
+    clash = d.withColumnsRenamed({"host": "llr", "grams": "__llr", "bucket": "doc"})
+    assert quality.drop_low_quality(clash, labels).columns == clash.columns
+
+
+def test_quality_rejects_toxic_words_and_counts_long_texts(spark):
+    r = random.Random(14)
+    texts = [words(r, 60) for _ in range(200)]
+    texts = [t if i % 4 else f"{t[:40]} moron {t[40:]}" for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 200) if i < 150], "doc_id long, quality int, toxic int")
+    assert {x["doc_id"] for x in quality.drop_low_quality(docs(spark, texts), labels).collect()} == {i for i in range(200) if i % 4}
+    long = quality.features(pa.array(["word " * 700_000, "word " * 7], pa.large_string()))
+    assert long[0, 8] == long[1, 8] == 4.0
+
+
+def test_quality_is_what_plain_python_makes_of_it(spark):
+    r = random.Random(15)
+    places = [("a/x", 30), ("a/y", 1), ("b/x", 40), ("b/z", 2), ("c", 3), (None, 2)]
+    rows, labels = [], []
+    for source, n in places:
+        for _ in range(n):
+            i = len(rows)
+            good = r.random() < (0.9 if source == "a/x" else 0.4)
+            rows.append((i, words(r, 20).capitalize() + "." if good else "BUY ### " + words(r, 12) + " %% !!", source, "en"))
+            if i % 2:
+                labels.append((i, int(good if r.random() < 0.9 else not good), 0))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    t = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.train(d, t)
+    llr = quality.evidence(quality.features(pa.array([x[1] for x in rows], pa.large_string()), model["toxic"]), model)
+    p = 1 / (1 + np.exp(-(llr + model["prior"])))
+    place = [((s or "").split("/")[0], (s or "").split("/")[1] if "/" in (s or "") else "~en") for _, _, s, _ in rows]
+    overall = (p.sum() + 0.5) / (len(p) + 1)
+
+    def strength(n, mean, of):
+        n, mean, of = (np.array(x, float) for x in (n, mean, of))
+        level = (n * of * (1 - of)).sum() / n.sum()
+        beyond = max((n * (mean - of) ** 2).sum() / n.sum() - (of * (1 - of)).sum() / n.sum(), 1e-6)
+        return max(1.0, min(1e6, level / beyond - 1))
+
+    hosts = {h: [p[k] for k in range(len(p)) if place[k][0] == h] for h, _ in place}
+    kh = strength([len(v) for v in hosts.values()], [np.mean(v) for v in hosts.values()], [overall] * len(hosts))
+    rate = {h: (sum(v) + kh * overall) / (len(v) + kh) for h, v in hosts.items()}
+    paths = {q: [p[k] for k in range(len(p)) if place[k] == q] for q in place}
+    kp = strength([len(v) for v in paths.values()], [np.mean(v) for v in paths.values()], [rate[h] for h, _ in paths])
+    got = {x["doc_id"]: x for x in quality.judged(d, t).select("doc.doc_id", "rate", "posterior").collect()}
+    for k in range(len(p)):
+        h, own = hosts[place[k][0]], paths[place[k]]
+        above = (sum(h) - p[k] + kh * overall) / (len(h) - 1 + kh)
+        want = (sum(own) - p[k] + kp * above) / (len(own) - 1 + kp)
+        assert got[k]["rate"] == pytest.approx(want, rel=1e-6)
+        assert got[k]["posterior"] == pytest.approx(1 / (1 + np.exp(-(np.log(want / (1 - want)) + llr[k]))), rel=1e-6)
 
 
 # --- 8: language ---
@@ -275,6 +430,21 @@ def test_capture_index_and_round_trip(spark, tmp_path):
     order = list(capture_index.LoserTree(runs))
     assert [runs[k][i] for k, i in order] == sorted(itertools.chain(*runs)) and list(capture_index.LoserTree([])) == []
     capture_index.write_warc(pages, str(tmp_path / "w"))
+    # files as others write them: ids that are no numbers, an info record, HTTP heads, several records in a member, other charsets
+    def record(kind, body, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:12-ab>", "Content-Length": str(len(body)), **more}
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n<p>\xe9</p>"
+    uri = {"WARC-Target-URI": "http://x.org/", "WARC-Date": "2024-01-02T03:04:05.123Z"}
+    foreign = record("warcinfo", b"software: x") + record("response", http, **uri) + record("request", b"GET /", **uri)
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.warc.gz").write_bytes(gzip.compress(foreign) + gzip.compress(record("resource", b"\xff\xfe", **uri)) + b"\0" * 9)
+    (tmp_path / "f" / "b.warc").write_bytes(foreign)
+    (tmp_path / "f" / "c.warc.gz").write_bytes(b"".join(gzip.compress(record("resource", b"x" * 100)) for _ in range(20_000)))
+    got = capture_index.read_warc(spark, str(tmp_path / "f")).collect()
+    assert len(got) == 20_003 and all(x["page_id"] is None for x in got)
+    assert {(x["url"], x["ts"], x["html"]) for x in got} == {("http://x.org/", "20240102030405", "<p>é</p>"), ("http://x.org/", "20240102030405", "\ufffd\ufffd"), (None, None, "x" * 100)}
     back = {x["page_id"]: (x["url"], x["html"]) for x in capture_index.read_warc(spark, str(tmp_path / "w")).collect()}
     assert back == {i: (u or "", h or "") for i, u, h in rows}
 
@@ -299,6 +469,65 @@ def test_site_style_tree(spark):
     assert (0, 30, 0.0) in nodes  # one style on all pages
 
 
+def test_style_tree_is_what_its_definition_says(spark):
+    r = random.Random(24)
+    blocks = ["<div class=a><p>{}</p><a href='/x'>link</a></div>", "<ul><li>{}<li>fixed</ul>", "<div class=b>same words</div>", "<p>{}", "<table><tr><td>{}<td>cell</table>"]
+    rows = []
+    for i in range(40):
+        some = [b.format(r.choice(("red", "green", words(r, 2)))) for b in r.choices(blocks, k=r.randint(1, 3))]
+        rows.append((i, f"http://h{i % 2}.org/", "<nav>menu</nav>" + "".join(some)))
+    rows += [(50, "http://h0.org/", ""), (51, "http://h0.org/", rows[0][2]), (51, "http://h0.org/", rows[0][2])]  # empty and repeated rows
+    seen = {}  # node: (parent style, depth, occurrences)
+    for _, url, source in rows:
+        page = site_style_tree.Page(url[7:13].removesuffix("/"), source)
+        for k in range(len(page.sign)):
+            kids = tuple(page.node[j] for j in page.kids[k])
+            seen.setdefault(page.node[k], (page.depth[k], []))[1].append((page.style[k] if kids else None, kids, frozenset(page.features[k])))
+
+    def entropy(counts, base):
+        return -sum(n / base * np.log(n / base) for n in counts) / np.log(base)
+
+    made = {}
+
+    def judge(node):
+        if node in made:
+            return made[node]
+        depth, found = seen[node]
+        m = len(found)
+        styles = Counter(s for s, _, _ in found if s is not None)
+        if m == 1:
+            made[node] = (1.0, 1.0, False)
+        elif styles:
+            own = max(0.0, entropy([*styles.values(), *[1] * (m - sum(styles.values()))], m))
+            below = [np.mean([judge(k)[1] for k in kids]) if styles[s] > 1 else 1.0 for s, kids, _ in found if s is not None] + [1.0] * (m - sum(styles.values()))
+            passed = 0.9 ** len(styles)
+            whole = (1 - passed) * own + passed * np.mean(below)
+            quiet = all(s is not None and styles[s] > 1 and all(judge(k)[2] for k in kids) for s, kids, _ in found)
+            made[node] = (own, whole, quiet and whole < site_style_tree.THRESHOLD)
+        else:
+            features = Counter(f for _, _, fs in found for f in fs)
+            own = max(0.0, 1 - np.mean([np.log(n) / np.log(m) for n in features.values()])) if features else 0.0
+            made[node] = (own, own, own < site_style_tree.THRESHOLD)
+        return made[node]
+
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {x["node"] & (2**64 - 1): (x["importance"], x["composite"], x["noisy"]) for x in site_style_tree.style_tree(pages).collect()}
+    want = {n: judge(n) for n, (_, found) in seen.items() if len(found) > 1}
+    assert set(got) == set(want) and {x[2] for x in want.values()} == {True, False}
+    for n in want:
+        assert got[n][:2] == pytest.approx(want[n][:2], abs=1e-9) and got[n][2] == want[n][2]
+
+
+def test_broken_pages_take_time_in_proportion():
+    for bit in ("<!--", "<script>", "<b>x", "<a '", '<p "', "<i>x</b>", "<a href='x'>y", "</div"):
+        took = []
+        for n in (10_000, 80_000):
+            began = time.perf_counter()
+            site_style_tree.Page("h", bit * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 40 * max(took[0], 0.02)
+
+
 def pages_lit(x):
     from pyspark.sql import functions as F
 
@@ -324,6 +553,15 @@ def test_audio(spark, tmp_path):
     assert rate == 8000 and np.abs(back - tune).max() < 1e-3
     assert audio.read_wav(b"RIFF") is None and audio.read_wav(None) is None
     part = audio.write_wav(tune[audio.HOP * 20 :], 8000)
+    # blocks of frames give what the whole recording at once gives
+    noise = audio.write_wav(np.random.default_rng(5).normal(size=70_000).clip(-1, 1), 8000)
+    plain = audio.pairs(*audio.peaks(audio.stft(audio.read_wav(noise)[1])))
+    for block in (1, 7, 100, 4096):
+        got = audio.fingerprint(noise, block)
+        assert got[:2] == (8000, 70_000) and all(np.array_equal(a, b) for a, b in zip(got[2:], plain))
+    ahead = [(f, b) for f, b in zip(*(x.tolist() for x in audio.peaks(audio.stft(audio.read_wav(noise)[1]))))]
+    want = sorted((f, b << 32 | c << 16 | g - f) for f, b in ahead for g, c in [x for x in ahead if x[0] > f][: audio.FAN_OUT] if g - f <= audio.AHEAD)
+    assert list(zip(*(x.tolist() for x in plain))) == want
     (tmp_path / "a.wav").write_bytes(audio.write_wav(tune, 8000))
     assert audio.read_wav_files(spark, str(tmp_path)).count() == 1
     rows = [("whole", audio.write_wav(tune, 8000)), ("null", None), ("bad", b"x"), ("none", audio.write_wav(np.zeros(0), 8000)), ("flat", audio.write_wav(np.zeros(5000), 8000)), (None, part)]
