@@ -75,3 +75,10 @@ def fuse(lists: list[tuple[float, DataFrame]], k: int) -> DataFrame:
         ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "unit_id"))).select("unit_id", (F.lit(weight) / F.col("rank")).alias("part"))
         parts = ranked if parts is None else parts.union(ranked)
     return top(parts.groupBy("unit_id").agg(F.round(F.sum("part"), 6).alias("score")), k)
+
+
+def reranked(hits: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Hits (unit_id, score) by 0.7 over their rank and 0.3 of the cosine of (unit_id, embedding, q); a unit without a vector has 0."""
+    ranked = hits.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "unit_id")))
+    near = vectors.join(ranked.select("unit_id"), "unit_id", "left_semi").select("unit_id", F.round(T.cosine(F.col("embedding"), F.col("q")), 6).alias("near"))
+    return top(ranked.join(near, "unit_id", "left").select("unit_id", F.round(0.7 / F.col("r") + 0.3 * F.coalesce("near", F.lit(0.0)), 6).alias("score")), k)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import analysis as A
 from lodestone.operators import edges as E
+from lodestone.operators import ranking as R
 from lodestone.plans.code import U, files, units
 from lodestone.plans.edges import COUPLED, EXTRACT, JN10, _extracted, _q
 from lodestone.plans.registry import register
@@ -202,3 +203,11 @@ def ag11(spark, sf_dir):
 def an08(spark, sf_dir):
     rows = A.measured(units(spark, sf_dir))
     return _plain(rows.groupBy("symbol_type").agg(*[F.expr(x).alias(n) for n, x in A.METRICS["analyzer"].items()]))
+
+
+_ORDER = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END"
+
+
+@register("rk17_by_severity", f"WITH {U} SELECT id, issue, severity, line_number::INT AS line_number FROM ({_findings_sql(None)}) ORDER BY {_ORDER}, id, line_number, issue LIMIT 100")
+def rk17(spark, sf_dir):
+    return R.by_severity(A.findings(units(spark, sf_dir)).select("id", "issue", "severity", "line_number"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
+from lodestone.operators import index as I
 from lodestone.operators import search as S
+from lodestone.operators import vectors as V
 from lodestone.plans.registry import register
 
 QUERY = "andre heed the ention ninging heed"
@@ -30,6 +32,17 @@ def _index(spark, sf_dir):
     return S.postings(_documents(spark, sf_dir), "doc_id", "text")
 
 
+_STORES: dict[tuple[str, str], I.IndexStore] = {}
+
+
+def store(spark, sf_dir) -> I.IndexStore:
+    """The index of the documents on disk, built by the first search of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        _STORES[key] = I.IndexStore.build(_documents(spark, sf_dir), "doc_id", "text")
+    return _STORES[key]
+
+
 @register("ix01_postings", f"WITH {P} SELECT term, unit_id FROM p")
 def ix01(spark, sf_dir):
     return _index(spark, sf_dir)
@@ -60,12 +73,12 @@ def ix07(spark, sf_dir):
 SELECT unit_id, round(sum(ln((SELECT count(*) FROM d) / (df + 1))), 6) AS score FROM q JOIN d USING (term) JOIN p USING (term) GROUP BY unit_id ORDER BY score DESC, unit_id LIMIT {K}""",
 )
 def se01(spark, sf_dir):
-    return S.scored_search(_index(spark, sf_dir), TERMS, K)
+    return store(spark, sf_dir).search(TERMS, K)
 
 
 @register("se05_text_search", f"WITH {P} SELECT unit_id, count(*) AS score FROM p WHERE term IN ({_quoted(RAW)}) GROUP BY unit_id ORDER BY score DESC, unit_id LIMIT {K}")
 def se05(spark, sf_dir):
-    return S.text_search(_index(spark, sf_dir), RAW, K)
+    return S.text_search(store(spark, sf_dir).of(RAW), RAW, K)
 
 
 @register("se06_exact_search", "WITH s AS (SELECT p_partkey AS unit_id, lower(p_name) AS key FROM part) SELECT DISTINCT unit_id FROM s WHERE key = (SELECT min(key) FROM s)")
@@ -81,69 +94,100 @@ _NEAR = "SELECT term, df, levenshtein(regexp_replace(term, '[^\\x00-\\x7F]', '?'
 
 @register(
     "se07_fuzzy_search",
-    f"WITH {P}, n AS ({' UNION ALL '.join('(' + _NEAR.format(t=t, n=len(t), m=2) + ' ORDER BY distance, term LIMIT 10)' for t in RAW[:2])}) "
+    f"WITH {P}, n AS ({' UNION ALL '.join('(' + _NEAR.format(t=t, n=len(t), m=2) + ' ORDER BY distance, term LIMIT 10)' for t in dict.fromkeys(RAW))}) "
     f"SELECT unit_id, count(*) AS score FROM n JOIN p USING (term) GROUP BY unit_id ORDER BY score DESC, unit_id LIMIT {K}",
 )
 def se07(spark, sf_dir):
-    return S.fuzzy_search(_index(spark, sf_dir), RAW[:2], K)
+    return store(spark, sf_dir).fuzzy(list(dict.fromkeys(RAW)), K)
 
 
 @register("se08_near_terms", f"WITH {P} {_NEAR.format(t=RAW[0], n=len(RAW[0]), m=2)} ORDER BY distance, term LIMIT 10")
 def se08(spark, sf_dir):
-    return S.near_terms(_index(spark, sf_dir), RAW[0], 2, 10)
+    return store(spark, sf_dir).near(RAW[:1], 2, 10).select("term", "df", "distance")
 
 
 @register("se09_regex_search", f"WITH {P} SELECT DISTINCT unit_id FROM p WHERE regexp_matches(term, '(?i)^AND.*ND$')")
 def se09(spark, sf_dir):
-    return _index(spark, sf_dir).where(F.col("term").rlike("(?i)^AND.*ND$")).select("unit_id").distinct()
+    index = store(spark, sf_dir)
+    known = index.terms().where(F.col("term").rlike("(?i)^AND.*ND$")).select("term")
+    return index.postings().join(known, "term", "left_semi").select("unit_id").distinct()
+
+
+#: Words that occur together in some documents.
+PHRASE = T.query_terms("heed ention", stemmed=False)
 
 
-@register("se10_phrase_search", f"WITH {P} SELECT unit_id FROM p WHERE term IN ({_quoted(set(RAW[:2]))}) GROUP BY unit_id HAVING count(*) = {len(set(RAW[:2]))}")
+@register("se10_phrase_search", f"WITH {P} SELECT unit_id FROM p WHERE term IN ({_quoted(PHRASE)}) GROUP BY unit_id HAVING count(*) = {len(set(PHRASE))}")
 def se10(spark, sf_dir):
-    return S.phrase_search(_index(spark, sf_dir), RAW[:2])
+    return S.phrase_search(store(spark, sf_dir).of(PHRASE), PHRASE)
 
 
 @register("se11_autocomplete", f"WITH {P} SELECT term, df FROM d WHERE starts_with(term, 'and') ORDER BY df DESC, term LIMIT {K}")
 def se11(spark, sf_dir):
-    index = _index(spark, sf_dir).where(F.col("term").startswith("and"))
-    return S.document_frequency(index).orderBy(F.desc("df"), "term").limit(K)
+    return store(spark, sf_dir).terms().where(F.col("term").startswith("and")).orderBy(F.desc("df"), "term").limit(K)
 
 
-@register("se12_suggestions", f"WITH {P}, n AS ({_NEAR.format(t=RAW[0], n=len(RAW[0]), m=1)} ORDER BY distance, term LIMIT 3) SELECT term, df FROM n ORDER BY df DESC, term")
+_SUGGEST = " UNION ALL ".join(f"(SELECT {i} AS q, term, df, distance FROM ({_NEAR.format(t=t, n=len(t), m=1)}) ORDER BY distance, term LIMIT 3)" for i, t in enumerate(dict.fromkeys(RAW)))
+
+
+@register("se12_suggestions", f"WITH {P} SELECT q AS query, term, df FROM ({_SUGGEST})")
 def se12(spark, sf_dir):
-    return S.near_terms(_index(spark, sf_dir), RAW[0], 1, 3).select("term", "df").orderBy(F.desc("df"), "term")
+    """The nearest terms at distance 1 of each query term."""
+    return store(spark, sf_dir).near(list(dict.fromkeys(RAW)), 1, 3).select("query", "term", "df").orderBy("query", F.desc("df"), "term")
 
 
 _COS = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+_ALL = f"SELECT query, unit_id, score FROM (SELECT q.vec_id AS query, e.vec_id AS unit_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 {{more}}) WHERE r <= {K}"
 
 
 def _similar(spark, sf_dir, itself: bool):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))  # vec_id is unique: one row
-    hits = e.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("unit_id"), F.round(T.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return S.top(hits if itself else hits.where("unit_id <> 0"), K)
+    # the stated set of queries: every row whose id is divisible by 20
+    return V.nearest(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", K, itself)
 
 
-@register("se13_semantic_search", f"SELECT e.vec_id AS unit_id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY score DESC, unit_id LIMIT {K}")
+@register("se13_semantic_search", _ALL.format(more=""))
 def se13(spark, sf_dir):
     return _similar(spark, sf_dir, True)
 
 
-@register("se15_similar_units", f"SELECT e.vec_id AS unit_id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id <> 0 ORDER BY score DESC, unit_id LIMIT {K}")
+@register("se15_similar_units", _ALL.format(more="AND q.vec_id <> e.vec_id"))
 def se15(spark, sf_dir):
     return _similar(spark, sf_dir, False)
 
 
+_TEXT = f"SELECT unit_id, count(*) AS score FROM p WHERE term IN ({_quoted(RAW)}) GROUP BY unit_id ORDER BY score DESC, unit_id LIMIT 50"
+_ONE = f"SELECT e.vec_id AS unit_id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY score DESC, unit_id LIMIT 50"
+
+
 @register(
     "se17_hybrid_search",
-    f"""WITH {P}, t AS (SELECT unit_id, row_number() OVER (ORDER BY score DESC, unit_id) AS r, 0.4::DOUBLE AS w FROM (SELECT unit_id, count(*) AS score FROM p WHERE term IN ({_quoted(RAW)}) GROUP BY unit_id ORDER BY score DESC, unit_id LIMIT 50)),
-f AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) AS r, 0.1::DOUBLE AS w FROM (SELECT doc_id AS unit_id FROM documents WHERE contains(source, 'src1') ORDER BY 1 LIMIT 50))
-SELECT unit_id, round(sum(w / r), 6) AS score FROM (FROM t UNION ALL FROM f) GROUP BY unit_id ORDER BY score DESC, unit_id LIMIT {K}""",
+    f"""WITH {P}, l AS (SELECT 0.4::DOUBLE AS w, unit_id, row_number() OVER (ORDER BY score DESC, unit_id) AS r FROM ({_TEXT}) UNION ALL SELECT 0.3, unit_id, row_number() OVER (ORDER BY score DESC, unit_id) FROM ({_ONE})
+ UNION ALL SELECT 0.2, unit_id, row_number() OVER (ORDER BY unit_id) FROM (SELECT doc_id AS unit_id FROM documents WHERE contains(lang, 'e')) UNION ALL SELECT 0.1, unit_id, row_number() OVER (ORDER BY unit_id) FROM (SELECT doc_id AS unit_id FROM documents WHERE contains(source, 'src1')))
+SELECT unit_id, round(sum(w / r), 6) AS score FROM l GROUP BY unit_id ORDER BY score DESC, unit_id LIMIT {K}""",
 )
 def se17(spark, sf_dir):
-    """Text hits and file-name hits, fused by their ranks."""
-    files = _documents(spark, sf_dir).where(F.col("source").contains("src1")).select(F.col("doc_id").alias("unit_id"), F.lit(0).alias("score"))
-    return S.fuse([(0.4, S.text_search(_index(spark, sf_dir), RAW, 50)), (0.1, S.top(files, 50))], K)
+    """Text hits, similar vectors, symbols (here: the language) and file names, fused by their ranks (rows 17 to 20)."""
+    d = _documents(spark, sf_dir)
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    files = d.where(F.col("source").contains("src1")).select(F.col("doc_id").alias("unit_id"), F.lit(0).alias("score"))
+    symbols = d.where(F.col("lang").contains("e")).select(F.col("doc_id").alias("unit_id"), F.lit(0).alias("score"))
+    near = V.nearest(e, e.where("vec_id = 0"), "vec_id", "embedding", 50).select("unit_id", "score")
+    return S.fuse([(0.4, S.text_search(store(spark, sf_dir).of(RAW), RAW, 50)), (0.3, near), (0.2, symbols), (0.1, files)], K)
+
+
+@register(
+    "se16_reranked_search",
+    f"""WITH {P}, h AS (SELECT unit_id, score FROM (SELECT unit_id, round(sum(ln((SELECT count(*) FROM d) / (df + 1))), 6) AS score FROM (SELECT unnest([{_quoted(TERMS)}]) AS term) JOIN d USING (term) JOIN p USING (term) GROUP BY unit_id) ORDER BY score DESC, unit_id LIMIT {2 * K}),
+r AS (SELECT unit_id, row_number() OVER (ORDER BY score DESC, unit_id) AS r FROM h), q AS (SELECT embedding FROM embeddings WHERE vec_id = 0)
+SELECT unit_id, round(0.7 / r + 0.3 * coalesce({_COS}, 0), 6)::DOUBLE AS score FROM r LEFT JOIN embeddings e ON e.vec_id = unit_id, q ORDER BY score DESC, unit_id LIMIT {K}""",
+)
+def se16(spark, sf_dir):
+    """Twice as many hits as asked for, ranked again by rank and cosine."""
+    hits = store(spark, sf_dir).search(TERMS, 2 * K)
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    q = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")))  # vec_id is unique: one row
+    return S.reranked(hits, e.select(F.col("vec_id").alias("unit_id"), "embedding").crossJoin(q), K)
 
 
 _RELEVANCE = " + ".join(f"contains(lower(text), '{t}')::INT" for t in RAW)
@@ -173,20 +217,6 @@ def rk06(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.when(n > 1000, 1.0).when(n > 500, 0.8).when(n > 100, 0.6).otherwise(0.4).alias("popularity"))
 
 
-@register(
-    "rk01_weighted_rank",
-    f"""SELECT doc_id, round(0.3 * least(1.0, ({_RELEVANCE}) / {2.0 * len(RAW)}) + 0.15 * CASE WHEN length(text) > 1000 THEN 1.0 WHEN length(text) > 500 THEN 0.8 WHEN length(text) > 100 THEN 0.6 ELSE 0.4 END
- + 0.05 * 0.3, 6)::DOUBLE AS score FROM documents ORDER BY score DESC, doc_id LIMIT {K}""",
-)
-def rk01(spark, sf_dir):
-    """The signals that documents have: text relevance, popularity, and the default of a file type."""
-    hits = sum((F.lower("text").contains(t).cast("int") for t in RAW), F.lit(0))
-    n = F.length("text")
-    popular = F.when(n > 1000, 1.0).when(n > 500, 0.8).when(n > 100, 0.6).otherwise(0.4)
-    score = 0.3 * F.least(F.lit(1.0), hits / (2.0 * len(RAW))) + 0.15 * popular + 0.05 * 0.3
-    return _documents(spark, sf_dir).select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(K)
-
-
 @register("pr09_stems", f"SELECT word, {T.stem_sql('word')} AS stem FROM (SELECT DISTINCT unnest({T.words_sql('text')}) AS word FROM documents)")
 def pr09(spark, sf_dir):
     words = _documents(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
