@@ -118,10 +118,10 @@ def fi05(spark, sf_dir):
     return R.page(units(spark, sf_dir).select("id", F.length("content").cast("long").alias("n")), [F.desc("n"), F.col("id")], 30, 15)
 
 
-@register("fi06_sizes_and_dates", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-03-01 00:00:00' AND value > 50 AND regexp_matches(event_type, 'c.*k')")
+@register("fi06_sizes_and_dates", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00' AND value > 50 AND regexp_matches(event_type, 'c.*k')")
 def fi06(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return R.compared(e, {"ts": ">2024-03-01", "value": ">50", "event_type": "/c.*k/"}).select("event_id")
+    return R.compared(e, {"ts": ">2024-01-10", "value": ">50", "event_type": "/c.*k/"}).select("event_id")
 
 
 @register("fi07_relation_types", _q(*EXTRACT) + "SELECT src, dst, relation_type FROM x WHERE relation_type IN ('calls', 'inherits')")
