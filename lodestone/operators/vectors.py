@@ -63,7 +63,11 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
         table = part.toArrow()
         q, at = _matrix(table.column("v").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float64())))
         ids = table.column("id").to_numpy()[at]
-        found = other.mapInArrow(_nearest(ids, q if len(ids) else np.zeros((0, width)), k, itself), "query long, unit_id long, score double")
+        if not len(ids):
+            continue
+        found = other.mapInArrow(_nearest(ids, q, k, itself), "query long, unit_id long, score double")
         out = found if out is None else out.union(found)
+    if out is None:
+        return base.sparkSession.createDataFrame([], "query long, unit_id long, score double")
     first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "unit_id"))
     return out.withColumn("rank", first).where(F.col("rank") <= k).select("query", "unit_id", "score")

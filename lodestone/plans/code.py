@@ -42,7 +42,7 @@ FILES = f"""f AS (SELECT file_path, 'file:' || file_path AS id, 'import os' || {
 
 def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return spark.sql(text.replace("FROM part", "FROM {part}"), part=part)
+    return spark.sql(text.replace("{", "{{").replace("}", "}}").replace("FROM part", "FROM {part}"), part=part)
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:

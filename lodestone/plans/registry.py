@@ -34,7 +34,7 @@ def _load() -> None:
 
 
 #: Modules of this package that register queries when they are imported.
-MODULES: tuple[str, ...] = ("search", "graphs", "metrics", "edges", "analysis", "units", "code_search")
+MODULES: tuple[str, ...] = ("search", "graphs", "metrics", "edges", "analysis", "units", "code_search", "upkeep", "front", "sources")
 
 
 def queries() -> dict[str, Query]:
