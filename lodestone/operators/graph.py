@@ -25,10 +25,18 @@ def _walked(cost: DataFrame, starts: DataFrame, walk: Callable[[dict, object], d
     sent = cost.sparkSession.sparkContext.broadcast(graph)  # at most ``local_edges`` edges
 
     def from_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start, ids, distance = [], [], []
         for batch in batches:
             for s in batch["id"].tolist():
                 found = walk(sent.value, s)
-                yield pd.DataFrame({"start": [s] * len(found), "id": list(found), "distance": list(found.values())})
+                start += [s] * len(found)
+                ids += found
+                distance += found.values()
+                if len(ids) > 100_000:
+                    yield pd.DataFrame({"start": start, "id": ids, "distance": distance})
+                    start, ids, distance = [], [], []
+        if ids:
+            yield pd.DataFrame({"start": start, "id": ids, "distance": distance})
 
     id_kind = starts.schema["id"].dataType.simpleString()
     return starts.select("id").mapInPandas(from_starts, f"start {id_kind}, id {id_kind}, distance {kind}")

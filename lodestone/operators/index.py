@@ -98,6 +98,7 @@ class IndexStore:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._size: int | None = None
 
     @classmethod
     def build(cls, units: DataFrame, unit_id: str, content: str, folder: str | None = None) -> "IndexStore":
@@ -110,6 +111,7 @@ class IndexStore:
         bucketed.repartition("bucket", "term").sortWithinPartitions("bucket", "term", "unit_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
         store = cls(spark, folder)
         store.postings().groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+        store.size()
         return store
 
     def postings(self) -> DataFrame:
@@ -118,6 +120,12 @@ class IndexStore:
     def terms(self) -> DataFrame:
         return self.spark.read.schema("term string, df long").parquet(f"{self.folder}/terms")
 
+    def size(self) -> int:
+        """How many terms there are, from the files' footers, once."""
+        if self._size is None:
+            self._size = self.terms().count()
+        return self._size
+
     def of(self, terms: list[str]) -> DataFrame:
         """Postings of some terms: only their buckets are read."""
         known = list(dict.fromkeys(terms))
@@ -126,7 +134,7 @@ class IndexStore:
 
     def search(self, terms: list[str], k: int) -> DataFrame:
         """(unit_id, score) by ln(V / (df + 1)) a term; repeated terms add again."""
-        v = self.terms().count()  # from the files' footers
+        v = self.size()
         hit = self.of(terms)
         times = F.lit(0)
         for t in dict.fromkeys(terms):
