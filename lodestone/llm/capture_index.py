@@ -1,10 +1,13 @@
 """WARC captures and their external index merge.
 
-Each input split gives a run of index entries, sorted by (URL key, timestamp).
-Runs are cut at common URL-key boundaries (a range partitioning), and in each
-range a loser tree merges its k runs: the winner goes out, its successor climbs
-from its leaf, one comparison a level. The ranges follow each other, so the
-whole is globally ordered, and all captures of a URL lie together.
+Every input split is sorted by (URL key, timestamp, page) where it is, by Spark's
+sort, which spills, and written as a run: a file in the shared folder. Keys of a
+sample cut the whole order into ranges; each range is a task that opens all runs,
+reads of each only the row groups that its range touches, a batch at a time, and
+merges them by a loser tree: the winner goes out, its successor climbs from its
+leaf, one comparison a level. Nothing is shuffled, and a task holds a batch a run.
+Ranges may cut through the captures of one URL; what a range needs to know of
+those before it is one row, which is worked out in between.
 
 ``write_warc`` and ``read_warc`` store pages as WARC/1.1 records, gzipped one by one.
 """
@@ -14,18 +17,23 @@ from __future__ import annotations
 import gzip
 import io
 import os
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.durable import durable
+from lodestone.operators.durable import durable, ensure_checkpoint_dir
 
 #: Pages carry no capture time; the crawl clock ticks so many seconds a page_id from this instant on.
 CLOCK_START, CLOCK_STEP = 1_704_067_200, 37
+#: Runs that a task merges at once, entries of a run that it holds, and keys sampled for each range.
+FAN_IN, BATCH, SAMPLED = 512, 4096, 60
 #: Compressed bytes taken at once, and the bytes that a record's headers may take.
 FEED, HEAD = 1 << 16, 1 << 16
 
@@ -46,7 +54,7 @@ def url_key(url: Column) -> Column:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Index entries (url_key, ts, page_id, url, digest, length, run) of pages; run numbers the input split.
+    """Index entries (url_key, ts, page_id, url, digest, length) of pages.
 
     A page with a null page_id is left out; null html is an empty payload.
     """
@@ -58,30 +66,26 @@ def captures(pages: DataFrame) -> DataFrame:
         "url",
         F.sha1(html.cast("binary")).alias("digest"),
         F.octet_length(html).alias("length"),
-        F.spark_partition_id().alias("run"),
     )
 
 
 class LoserTree:
-    """Merges sorted runs of keys; ties go to the run with the lesser number."""
+    """Merges sorted runs by the first part of their items; ties go to the run with the lesser number. Runs may be iterators and are read one item ahead."""
 
-    def __init__(self, runs: list[list]):
-        self.runs = runs
-        self.at = [0] * len(runs)
-        self.k = max(1, len(runs))
+    def __init__(self, runs: Iterable[Iterable]):
+        self.runs = [iter(r) for r in runs]
+        self.head = [next(r, None) for r in self.runs]
+        self.k = max(1, len(self.runs))
         self.tree = [-1] * self.k
-        for leaf in range(len(runs) - 1, -1, -1):
+        for leaf in range(len(self.runs) - 1, -1, -1):
             self._climb(leaf)
 
     def _beats(self, a: int, b: int) -> bool:
         """Whether run a goes out before run b. An ended run goes last."""
-        x, y = self.runs[a], self.runs[b]
-        i, j = self.at[a], self.at[b]
-        if i >= len(x):
+        x, y = self.head[a], self.head[b]
+        if x is None:
             return False
-        if j >= len(y):
-            return True
-        return (x[i], a) < (y[j], b)
+        return y is None or (x[0], a) < (y[0], b)
 
     def _climb(self, winner: int) -> None:
         node = (winner + self.k) >> 1
@@ -95,79 +99,115 @@ class LoserTree:
             node >>= 1
         self.tree[0] = winner
 
-    def __iter__(self) -> Iterator[tuple[int, int]]:
-        """(run, position) in order."""
-        if not self.runs:
-            return
-        while True:
+    def __iter__(self) -> Iterator[tuple[int, tuple]]:
+        """(run, item) in order."""
+        while self.runs:
             w = self.tree[0]
-            i = self.at[w]
-            if i >= len(self.runs[w]):
+            if self.head[w] is None:
                 return
-            yield w, i
-            self.at[w] = i + 1
+            yield w, self.head[w]
+            self.head[w] = next(self.runs[w], None)
             self._climb(w)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the runs of a range, which lie one after the other, and adds each capture's place in its URL's history."""
-    table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    here = TaskContext.get().partitionId()
-    keys = list(zip(*(table.column(c).to_pylist() for c in ("url_key", "ts", "page_id"))))
-    run_of = table.column("run").to_pylist()
-    starts = [0] + [i for i in range(1, len(keys)) if run_of[i] != run_of[i - 1]] + [len(keys)]
-    runs = [keys[a:b] for a, b in zip(starts, starts[1:])]
-    order = [starts[r] + i for r, i in LoserTree(runs)]
-    digests = table.column("digest").to_pylist()
-    number, before, changed = [], [], []
-    last = None
-    for i in order:
-        url, ts, _ = keys[i]
-        same = last is not None and last[0] == url
-        number.append(number[-1] + 1 if same else 1)
-        before.append(last[1] if same else None)
-        changed.append(not same or last[2] != digests[i])
-        last = (url, ts, digests[i])
-    out = table.select(["url_key", "ts", "page_id", "url", "digest", "length"]).take(pa.array(order))
-    for name, column in (
-        ("capture", pa.array(number, pa.int64())),
-        ("previous_ts", pa.array(before, pa.string())),
-        ("changed", pa.array(changed)),
-        ("range", pa.array([here] * len(order), pa.int32())),
-        ("at", pa.array(range(len(order)), pa.int64())),
-    ):
-        out = out.append_column(name, column)
-    yield from out.combine_chunks().to_batches()
-
-
-def merged_index(pages: DataFrame) -> DataFrame:
+Key = tuple[str, str, int]
+
+
+def _run(path: str, low: Key | None, high: Key | None) -> Iterator[tuple[Key, tuple]]:
+    """(key, (url, digest, length)) of a run's entries from low on, before high, a batch at a time."""
+    files, name = pa.fs.FileSystem.from_uri(path)
+    with files.open_input_file(name) as source:
+        run = pq.ParquetFile(source)
+        groups = []
+        for g in range(run.num_row_groups):
+            column = run.metadata.row_group(g).column(0)
+            seen = column.statistics if column.path_in_schema == "url_key" else None
+            if seen is not None and seen.has_min_max and ((high is not None and seen.min > high[0]) or (low is not None and seen.max < low[0])):
+                continue
+            groups.append(g)
+        for batch in run.iter_batches(BATCH, groups, ["url_key", "ts", "page_id", "url", "digest", "length"]):
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            if (low is not None and (columns[0][-1], columns[1][-1], columns[2][-1]) < low) or (high is not None and (columns[0][0], columns[1][0], columns[2][0]) >= high):
+                continue
+            for key, ts, page, *rest in zip(*columns):
+                at = (key, ts, page)
+                if (low is None or at >= low) and (high is None or at < high):
+                    yield at, tuple(rest)
+
+
+MERGED = "url_key string, ts string, page_id long, url string, digest string, length int, capture long, previous_ts string, changed boolean, range int, at long"
+
+
+def _merge(paths: list[str], bounds: list[Key]):
+    """Merges the runs within each range, and adds each capture's place in its URL's history, as far as the range tells."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int64()]
+    names = [x.split()[0] for x in MERGED.split(", ")]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for here in [int(r) for batch in batches for r in batch.column(0).to_pylist()]:
+            low, high = bounds[here - 1] if here else None, bounds[here] if here < len(bounds) else None
+            out: list[tuple] = []
+            number, last, at = 0, None, 0
+            for _, ((key, ts, page), (url, digest, length)) in LoserTree(_run(p, low, high) for p in paths):
+                same = last is not None and last[0] == key
+                number = number + 1 if same else 1
+                out.append((key, ts, page, url, digest, length, number, last[1] if same else None, not same or last[2] != digest, here, at))
+                last, at = (key, ts, digest), at + 1
+                if len(out) == BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    return merge
+
+
+def _bounds(runs: DataFrame, ranges: int) -> list[Key]:
+    """Keys that cut the runs' entries into about equal ranges, from a sample of about SAMPLED a range."""
+    many = runs.count()
+    share = min(1.0, SAMPLED * ranges / max(1, many))
+    keys = sorted(tuple(r) for r in runs.select("url_key", "ts", "page_id").sample(share, seed=1).collect())
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+
+
+def merged_index(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """The globally ordered capture index.
 
     (position, url_key, ts, page_id, url, digest, length, capture, previous_ts,
     changed): position counts from 1 over the whole index, capture within the
     URL key; changed tells whether the digest differs from the capture before.
     Captures of the same key and time are ordered by page_id; repeated rows stay.
-    An empty table gives an empty index.
+    Pages with a null page_id are left out; null URLs and html count as empty.
+    Payloads of any length are only hashed. An empty table gives an empty index.
+    Other columns, whatever their names, don't matter.
     """
-    entries = durable(captures(pages))
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = entries.repartitionByRange(parts, "url_key").sortWithinPartitions("run", "url_key", "ts", "page_id")
-    merged = durable(
-        ranged.mapInArrow(
-            _merge,
-            "url_key string, ts string, page_id long, url string, digest string, length int, capture long, previous_ts string, changed boolean, range int, at long",
-        )
-    )
-    sizes = {r["range"]: r["count"] for r in merged.groupBy("range").count().collect()}
-    before, total = {}, 0
-    for k in sorted(sizes):
-        before[k], total = total, total + sizes[k]
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("range")) if before else F.lit(0)
-    return merged.select(
-        (offset.cast("long") + F.col("at") + 1).alias("position"), "url_key", "ts", "page_id", "url", "digest", "length", "capture", "previous_ts", "changed"
+    spark = pages.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    # no more runs than a task can keep open; a run of several splits is sorted whole
+    captures(pages).coalesce(FAN_IN).sortWithinPartitions("url_key", "ts", "page_id").write.option("maxRecordsPerFile", 0).parquet(folder)
+    runs = spark.read.schema("url_key string, ts string, page_id long, url string, digest string, length int").parquet(folder)
+    paths = sorted(runs.inputFiles())
+    bounds = _bounds(runs, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = spark.range(0, len(bounds) + 1, 1, len(bounds) + 1)
+    merged = durable(tasks.mapInArrow(_merge(paths, bounds), MERGED))
+    ends = merged.groupBy("range").agg(
+        F.count("*").alias("n"), F.min_by("url_key", "at").alias("first"), F.max_by(F.struct("url_key", "ts", "digest", "capture"), "at").alias("last")
     )
+    carried, total, before = [], 0, (None, 0, None, None)
+    for r in ends.orderBy("range").collect():  # a row a range
+        key, ts, digest, capture = r["last"]
+        more = before[1] if before[0] == r["first"] else 0
+        carried.append((r["range"], total, before[0] if more else None, more, before[2], before[3]))
+        total += r["n"]
+        before = (key, capture + (more if key == r["first"] else 0), ts, digest)
+    table = spark.createDataFrame(carried, "range int, offset long, carried_key string, more long, carried_ts string, carried_digest string")
+    joined = merged.join(F.broadcast(table), "range")  # a row a range
+    goes_on = F.col("url_key") == F.coalesce("carried_key", F.lit("\x00"))
+    first = goes_on & (F.col("at") == 0)
+    return joined.select(
+        (F.col("offset") + F.col("at") + 1).alias("position"), "url_key", "ts", "page_id", "url", "digest", "length", (F.col("capture") + F.when(goes_on, F.col("more")).otherwise(0)).alias("capture"),
+        F.when(first, F.col("carried_ts")).otherwise(F.col("previous_ts")).alias("previous_ts"), F.when(first, F.col("digest") != F.col("carried_digest")).otherwise(F.col("changed")).alias("changed"),
+    )
 
 
 def _record(url: str, ts: str, page_id: int, payload: bytes) -> bytes:

@@ -427,8 +427,20 @@ def test_capture_index_and_round_trip(spark, tmp_path):
     assert {x["url_key"] for x in got} == {"com,a)/x?a=1&b=2", "org,b)", ")"}
     assert capture_index.merged_index(pages.limit(0)).count() == 0
     runs = [sorted(r.choices(range(9), k=r.randint(0, 6))) for _ in range(7)]
-    order = list(capture_index.LoserTree(runs))
-    assert [runs[k][i] for k, i in order] == sorted(itertools.chain(*runs)) and list(capture_index.LoserTree([])) == []
+    order = list(capture_index.LoserTree([[(x, k) for x in run] for k, run in enumerate(runs)]))
+    assert [x for _, x in order] == sorted((x, k) for k, run in enumerate(runs) for x in run) and list(capture_index.LoserTree([])) == []
+    # ranges that cut through the captures of a URL, repeated rows, other columns
+    key = {i: {"http://www.A.com/x/?b=2&a=1&utm_s=3": "com,a)/x?a=1&b=2", "https://a.com/x?a=1&b=2": "com,a)/x?a=1&b=2", "http://b.org/": "org,b)"}.get(u, ")") for i, u, _ in rows}
+    want, last = [], {}
+    for i, u, h in sorted(rows + rows[:7], key=lambda x: (key[x[0]], x[0])):
+        n, before, digest = last.get(key[i], (0, None, None))
+        want.append((len(want) + 1, key[i], i, n + 1, before, digest is None or digest != (h or "")))
+        last[key[i]] = (n + 1, i, h or "")
+    twice = spark.createDataFrame(rows + rows[:7], "page_id long, url string, html string").selectExpr("*", "1 AS ts", "2 AS range", "3 AS at").repartition(6)
+    for ranges in (1, 4, 50):
+        got = [(x["position"], x["url_key"], x["page_id"], x["capture"], x["previous_ts"], x["changed"]) for x in capture_index.merged_index(twice, ranges).orderBy("position").collect()]
+        stamps = {x["page_id"]: x["ts"] for x in capture_index.captures(twice).collect()}
+        assert got == [(*w[:4], stamps.get(w[4]), w[5]) for w in want]
     capture_index.write_warc(pages, str(tmp_path / "w"))
     # files as others write them: ids that are no numbers, an info record, HTTP heads, several records in a member, other charsets
     def record(kind, body, **more):
