@@ -28,6 +28,8 @@ from lodestone.operators.durable import durable
 
 #: Edits between lines that count as the same, and characters from which a line may differ at all.
 TAU, MIN_CHARS = 2, 20
+#: Pairs of lines put out at once.
+PAIRS = 1 << 18
 #: Rows of a side up to which it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -66,11 +68,16 @@ def segment(length: np.ndarray, i: int, tau: int) -> tuple[np.ndarray, np.ndarra
     return i * small + long_before, small + (i >= tau + 1 - extra)
 
 
-def slots(lines: Lines, tau: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slot, line hash, probes) of the lines: tau + 1 index slots each, and those that they probe."""
+def slots(lines: Lines, tau: int, min_chars: int, seen: set[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, line hash, probes) of the lines: tau + 1 index slots each, and those that they probe. Lines whose hash is in seen are left out, the others are added to it."""
     pick = np.flatnonzero((lines.length >= min_chars) & lines.visible())
     if len(pick):
         pick = pick[np.unique(lines.hash[pick], return_index=True)[1]]
+    if seen is not None:
+        hashes = lines.hash[pick].tolist()
+        fresh = np.fromiter((x not in seen for x in hashes), bool, len(hashes))
+        seen.update(hashes)
+        pick = pick[fresh]
     start, length, h = lines.start[pick], lines.length[pick], lines.hash[pick]
     out: list[tuple[np.ndarray, np.ndarray, bool]] = []
 
@@ -113,9 +120,10 @@ def _emit_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _emit_slots(tau: int, min_chars: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task says of every line once where it belongs, however often it occurs
         for batch in batches:
             for _, lines in _chunked(batch):
-                slot, line, probes = slots(lines, tau, min_chars)
+                slot, line, probes = slots(lines, tau, min_chars, seen)
                 yield pa.RecordBatch.from_arrays([pa.array(slot.view(np.int64)), pa.array(line.view(np.int64)), pa.array(probes)], ["slot", "line", "probes"])
 
     return emit
@@ -229,22 +237,59 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def _pairs_of(slot: np.ndarray, line: np.ndarray, probes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(line, other) of the indexed and the probing lines of each slot, from rows sorted by slot, probes and line."""
+    fresh = np.ones(len(slot), bool)
+    fresh[1:] = (slot[1:] != slot[:-1]) | (line[1:] != line[:-1]) | (probes[1:] != probes[:-1])
+    slot, line, probes = slot[fresh], line[fresh], probes[fresh]
+    start = np.flatnonzero(np.concatenate([np.ones(1, bool), slot[1:] != slot[:-1]]))
+    many = np.diff(np.append(start, len(slot)))
+    indexed = np.add.reduceat(~probes, start, dtype=np.int64) if len(start) else start
+    use = (indexed > 0) & (indexed < many)
+    if not use.any():
+        return
+    # each probing line with all indexed ones of its slot
+    keep = np.repeat(use, many) & probes
+    number = np.repeat(indexed, many)[keep]
+    first = np.repeat(start, many)[keep]
+    own = line[keep]
+    done = np.concatenate([[0], np.cumsum(number)])
+    a = 0
+    while a < len(own):
+        b = max(a + 1, int(np.searchsorted(done, done[a] + PAIRS, "right")) - 1)
+        which = np.repeat(np.arange(a, b), number[a:b])
+        other = line[first[which] + np.arange(len(which)) - (done[which] - done[a])]
+        x, y = own[which], other
+        two = x != y
+        pair = np.unique(np.stack([np.minimum(x, y)[two], np.maximum(x, y)[two]], 1), axis=0)
+        if len(pair):
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["line", "other"])
+        a = b
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the lines that meet in a slot; a slot's lines are held, never its pairs."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column("slot").to_numpy(), batch.column("line").to_numpy(), batch.column("probes").to_numpy(zero_copy_only=False)]
+        # the last slot may go on in the next batch
+        last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+        if last or (held and held[-1][0][-1] != rows[0][-1]):
+            yield from _pairs_of(*(np.concatenate(x) for x in zip(*held, [c[:last] for c in rows])))
+            held = []
+        held.append([c[last:] for c in rows])
+    if held:
+        yield from _pairs_of(*(np.concatenate(x) for x in zip(*held)))
+
+
 def similar_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs (line, other), line < other, of hashes of different lines within tau edits."""
     slot_rows = docs.mapInArrow(_emit_slots(tau, min_chars), "slot long, line long, probes boolean")
-    slot = Window.partitionBy("slot")
-    met = slot_rows.select("slot", "line", "probes", F.min("line").over(slot).alias("low"), F.max("line").over(slot).alias("high")).where("low <> high")
-    sides = met.groupBy("slot").agg(
-        F.collect_set(F.when(~F.col("probes"), F.col("line"))).alias("indexed"), F.collect_set(F.when(F.col("probes"), F.col("line"))).alias("probing")
-    )
-    pairs = (
-        sides.where("size(indexed) > 0 and size(probing) > 0")
-        .select(F.explode("indexed").alias("a"), "probing")
-        .select("a", F.explode("probing").alias("b"))
-        .where("a <> b")
-        .select(F.least("a", "b").alias("line"), F.greatest("a", "b").alias("other"))
-        .distinct()
-    )
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = slot_rows.repartition(parts, "slot").sortWithinPartitions("slot", "probes", "line")
+    pairs = met.mapInArrow(_meet, "line long, other long").distinct()
     pairs = durable(pairs)
     wanted = durable(pairs.select("line").union(pairs.select("other")).distinct())
     texts = docs.mapInArrow(_emit_texts(min_chars), "line long, text string").join(_small(wanted), "line", "left_semi")
