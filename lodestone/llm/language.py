@@ -9,9 +9,9 @@ end of the escapes. The language whose tree gives the shortest code for the
 whole text wins.
 
 The trees are looked up with array operations: a byte is an index into the
-alphabet of the training texts, the orders up to 2 are plain tables, and those of
-order 3 are a hash table of the contexts that occurred, with the code lengths of
-all languages in one row.
+alphabet of the training texts, the orders 0 and 1 are plain tables, and those of
+orders 2 and 3 hash tables of what occurred, with the code lengths of all
+languages in one row, so that memory grows with the samples and not with the alphabet.
 """
 
 from __future__ import annotations
@@ -33,6 +33,45 @@ ORDER = 3
 CHUNK = 1 << 18
 
 
+class _Table:
+    """Rows by whole-number key: open addressing with linear probing, at most a quarter full."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray):
+        self.rows = rows
+        bits = max(10, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+        self.shift = np.uint64(64 - bits)
+        self.slot_key = np.full((1 << bits) + 64, -1, np.int64)
+        self.slot_row = np.zeros((1 << bits) + 64, np.int32)
+        left = np.arange(len(keys))
+        place = self._slot(keys)
+        self.probes = 0
+        while len(left):
+            free = self.slot_key[place[left]] < 0
+            take, first = np.unique(place[left[free]], return_index=True)
+            winners = left[free][first]
+            self.slot_key[take], self.slot_row[take] = keys[winners], winners
+            left = np.setdiff1d(left, winners)
+            place[left] += 1
+            self.probes += 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(tb._MULTIPLIER)) >> self.shift).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Row numbers of keys, -1 for those that there aren't."""
+        slot, row = self._slot(key), np.full(len(key), -1, np.int64)
+        open_ = np.arange(len(key))
+        for _ in range(self.probes + 1):
+            there = self.slot_key[slot[open_]]
+            hit = there == key[open_]
+            row[open_[hit]] = self.slot_row[slot[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+            if not len(open_):
+                break
+            slot[open_] += 1
+        return row
+
+
 class Trees:
     """Frozen context trees of all languages."""
 
@@ -46,32 +85,31 @@ class Trees:
         self.symbol = np.zeros(256, np.uint8)
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.size = a = len(seen) + 1
-        texts = {name: [self.symbol[np.frombuffer(x, np.uint8)].astype(np.int64) for x in samples[name]] for name in self.names}
-        self.plain = []  # code lengths of (context, symbol) for orders 0, 1, 2
-        self.escape = []  # escape costs of contexts of order 0 to 3, nil where the context is unknown
-        lower = np.full((a, many), 8.0, np.float64)
-        for order in range(ORDER):
-            counts = np.stack([self._count(texts[n], order + 1) for n in self.names], axis=1).astype(np.float64)
-            by_context = counts.reshape(-1, a, many)
-            n, d = by_context.sum(axis=1), (by_context > 0).sum(axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(n > 0, -np.log2(d / (n + d)), 0.0)
-                hit = -np.log2(by_context / (n + d)[:, None])
-            contexts = a**order
-            below = np.broadcast_to(lower.reshape(-1, a, many), (max(1, contexts // a), a, many)) if order < 1 else lower.reshape(-1, a, many)
-            # context (x, y) falls back on (y): the lower table repeats for every first symbol
-            below = np.tile(below, (contexts // below.shape[0], 1, 1)) if order else lower[None]
-            code = np.where(by_context > 0, hit, escape[:, None] + below)
-            self.plain.append(code.reshape(-1, many).astype(np.float32))
-            self.escape.append(escape.astype(np.float32))
-            lower = code.reshape(-1, many)
-        self._third(texts, lower)
-
-    def _count(self, texts: list[np.ndarray], width: int) -> np.ndarray:
-        total = np.zeros(self.size**width, np.int64)
-        for t in texts:
-            total += np.bincount(self._keys(t, width), minlength=len(total)) if len(t) >= width else 0
-        return total
+        self.plain: list[np.ndarray] = []  # code lengths of (context, symbol) for orders 0 and 1
+        self.codes: dict[int, _Table] = {}  # and for orders 2 and 3
+        self.escapes: dict[int, _Table] = {}  # escape costs of the contexts of orders 2 and 3
+        for order in range(ORDER + 1):
+            keys, counts = {}, {}
+            for n in self.names:
+                rows = (self._keys(self.symbol[np.frombuffer(x, np.uint8)].astype(np.int64), order + 1) for x in samples[n] if len(x) > order)
+                keys[n], counts[n] = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_counts=True)
+            union = np.arange(a ** (order + 1)) if order < 2 else np.unique(np.concatenate([keys[n] for n in self.names]))
+            contexts = np.unique(union // a)
+            escape = np.zeros((len(contexts), many), np.float32)
+            code = self._code(order - 1, union % a**order).astype(np.float64) if order else np.full((a, many), 8.0)
+            of = np.searchsorted(contexts, union // a)
+            for j, n in enumerate(self.names):
+                own = np.searchsorted(contexts, keys[n] // a)
+                total, kinds = np.bincount(own, counts[n], len(contexts)), np.bincount(own, minlength=len(contexts))
+                known = total > 0
+                escape[known, j] = -np.log2(kinds[known] / (total[known] + kinds[known]))
+                code[:, j] += escape[of, j]
+                code[np.searchsorted(union, keys[n]), j] = -np.log2(counts[n] / (total[own] + kinds[own]))
+            if order < 2:
+                self.plain.append(code.astype(np.float32))
+            else:
+                self.codes[order] = _Table(union, code.astype(np.float32))
+                self.escapes[order] = _Table(contexts, escape)
 
     def _keys(self, t: np.ndarray, width: int) -> np.ndarray:
         key = t[: len(t) - width + 1]
@@ -79,46 +117,19 @@ class Trees:
             key = key * self.size + t[k : len(t) - width + 1 + k]
         return key
 
-    def _third(self, texts: dict[str, list[np.ndarray]], lower: np.ndarray) -> None:
-        """Order 3: the keys (context, symbol) of any language, each with the code lengths of all."""
-        a, many = self.size, len(self.names)
-        keys, counts = {}, {}
-        for n in self.names:
-            rows = [self._keys(t, 4) for t in texts[n] if len(t) >= 4]
-            keys[n], counts[n] = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int64), return_counts=True)
-        union = np.unique(np.concatenate([keys[n] for n in self.names])) if many else np.zeros(0, np.int64)
-        code = lower[union % a**3].copy() if len(union) else np.zeros((0, many))
-        escape = np.zeros((a**3, many), np.float32)
-        for j, n in enumerate(self.names):
-            context = keys[n] // a
-            total = np.bincount(context, counts[n], a**3)
-            kinds = np.bincount(context, minlength=a**3)
-            known = total > 0
-            escape[known, j] = -np.log2(kinds[known] / (total[known] + kinds[known]))
-            code[:, j] += escape[union // a, j]
-            at = np.searchsorted(union, keys[n])
-            code[at, j] = -np.log2(counts[n] / (total[context] + kinds[context]))
-        self.escape.append(escape)
-        # open addressing with linear probing, at most a quarter full
-        bits = max(10, int(np.ceil(np.log2(max(1, len(union)) * 4))))
-        self.shift = np.uint64(64 - bits)
-        self.slot_key = np.full((1 << bits) + 64, -1, np.int64)
-        self.slot_row = np.zeros((1 << bits) + 64, np.int32)
-        left = np.arange(len(union))
-        place = self._slot(union)
-        self.probes = 0
-        while len(left):
-            free = self.slot_key[place[left]] < 0
-            take, first = np.unique(place[left[free]], return_index=True)
-            winners = left[free][first]
-            self.slot_key[take], self.slot_row[take] = union[winners], winners
-            left = np.setdiff1d(left, winners)
-            place[left] += 1
-            self.probes += 1
-        self.code = code.astype(np.float32)
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(tb._MULTIPLIER)) >> self.shift).astype(np.int64)
+    def _code(self, order: int, keys: np.ndarray) -> np.ndarray:
+        """Code lengths of keys (context, symbol) in contexts of an order, a column for each language."""
+        if order < 2:
+            return self.plain[order][keys]
+        table, above = self.codes[order], self.escapes[order]
+        row = table.find(keys)
+        miss = np.flatnonzero(row < 0)
+        out = table.rows[np.maximum(row, 0)] if len(table.rows) else np.zeros((len(keys), len(self.names)), np.float32)
+        if len(miss):
+            context = above.find(keys[miss] // self.size)
+            lost = above.rows[np.maximum(context, 0)] * (context >= 0)[:, None] if len(above.rows) else 0.0
+            out[miss] = lost + self._code(order - 1, keys[miss] % self.size**order)
+        return out
 
     def bits(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Code lengths in bits of the texts data[at[r]:at[r + 1]], a column for each language.
@@ -134,26 +145,14 @@ class Trees:
                 s = np.concatenate([np.zeros(3 - low, np.int64), s])
             two = (s[1:-2] * a + s[2:-1]) * a + s[3:]
             key = two + s[:-3] * a**3
-            slot, row = self._slot(key), np.full(len(key), -1, np.int64)
-            open_ = np.arange(len(key))
-            for _ in range(self.probes + 1):
-                there = self.slot_key[slot[open_]]
-                hit = there == key[open_]
-                row[open_[hit]] = self.slot_row[slot[open_[hit]]]
-                open_ = open_[~hit & (there >= 0)]
-                if not len(open_):
-                    break
-                slot[open_] += 1
-            cost = self.code[np.maximum(row, 0)] if len(self.code) else np.zeros((len(key), many), np.float32)
-            miss = np.flatnonzero(row < 0)
-            cost[miss] = self.escape[3][key[miss] // a] + self.plain[2][two[miss]]
+            cost = self._code(ORDER, key)
             # the first three bytes of each text
             starts = at[:-1][np.diff(at) > 0]
             for order in range(3):
                 p = starts + order
                 row_end = at[1:][np.diff(at) > 0]
                 p = p[(p < row_end) & (p >= low) & (p < high)] - low
-                cost[p] = self.plain[order][two[p] % a ** (order + 1)]
+                cost[p] = self._code(order, two[p] % a ** (order + 1))
             r0, r1 = np.searchsorted(at, low, "right") - 1, np.searchsorted(at, high, "left")
             cuts = np.clip(at[r0 : r1 + 1], low, high) - low
             total = np.concatenate([np.zeros((1, many)), np.cumsum(cost, axis=0, dtype=np.float64)])
@@ -177,8 +176,9 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Trees:
     return Trees(samples)
 
 
-def _identify(trees: Trees):
+def _identify(sent):
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = sent.value
         names = np.array(trees.names, object)
         for batch in batches:
             texts = tb.string_array(batch.column("text"))
@@ -214,12 +214,14 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
     margin is by how many bits a byte the next language is longer; of languages with
     the same code length the first in the alphabet wins. Null and empty texts
     have a null language, bits and margin. Rows with a null doc_id and repeated rows
-    are answered like any other. Without any language all are null.
+    are answered like any other. Without any language all are null. An empty table
+    gives an empty result. Texts of any length are read whole, CHUNK bytes at once;
+    other columns, whatever their names, don't matter.
     """
     if not trees.names:
         none = [F.lit(None).cast(t).alias(n) for n, t in (("language", "string"), ("bits_per_byte", "double"), ("margin", "double"))]
         return docs.select(F.col("doc_id").cast("long"), *none)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_identify(trees), IDENTIFIED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_identify(docs.sparkSession.sparkContext.broadcast(trees)), IDENTIFIED)  # at most MAX_DOCS samples a language
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

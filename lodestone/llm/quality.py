@@ -1,10 +1,10 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
-A logistic regression on features of the whole text gives each document its own
-evidence, as a log likelihood ratio: surface counts, and how strongly its most
-telling words speak for toxic documents, as half of the labelled ones say; the other
-half fits the regression. A document is good if it is labelled of good quality
-and not toxic. The documents' probabilities are summed by host and by path of the
+A logistic regression on surface counts of the whole text gives each document its
+own evidence, as a log likelihood ratio. Half of the labelled documents tell which
+words toxic ones have; a second regression, on the most telling word of the other
+half, says what such a word means, and where it speaks more against a document it
+stands for its evidence. The documents' probabilities are summed by host and by path of the
 host; the rate of a path is shrunk towards its host's and the rate of a host
 towards the corpus's, the more the fewer documents it has, with strengths
 estimated from the spread between sites (method of moments). The posterior of a
@@ -35,8 +35,8 @@ KEEP_FROM = 0.5
 #: Sites up to which their rates are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SITES = 500_000
 
-#: Buckets of hashed words, and the labelled documents that a word must be in to speak at all.
-BUCKETS, LEAST_DOCS = 1 << 18, 4
+#: A word speaks if so many toxic documents have it, and so great a share of them: rarer ones may owe it to a few copies of one text.
+LEAST_DOCS, LEAST_SHARE = 4, 0.05
 
 FEATURES = ("words", "distinct", "repeats", "upper", "symbols", "digits", "pauses", "spaces", "length", "pipes", "marked", "toxic")
 
@@ -67,8 +67,11 @@ def _counted(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [np.array([np.isin(data[x:y], np.frombuffer(c, np.uint8)).sum() for x, y in zip(at[:-1].tolist(), at[1:].tolist())], float) for three in _CLASSES for c in three]
 
 
-def features(texts: pa.Array, toxic: np.ndarray | None = None) -> np.ndarray:
-    """One row of FEATURES for each text; zeros for a text without a word. toxic: weights of the buckets of words."""
+Words = tuple[np.ndarray, np.ndarray]  # sorted hashes, and their weights
+
+
+def features(texts: pa.Array, toxic: Words | None = None) -> np.ndarray:
+    """One row of FEATURES for each text; zeros for a text without a word. toxic: the telling words."""
     data, at = tb.buffers(texts)
     upper, lower, other, digits, pauses, spaces, pipes, bangs, _ = _counted(data, at)
     w = tb.words(texts)
@@ -78,9 +81,11 @@ def features(texts: pa.Array, toxic: np.ndarray | None = None) -> np.ndarray:
     last, first = np.maximum(w.first[1:] - 1, 0), np.minimum(w.first[:-1], max(len(w.hash) - 1, 0))
     repeats = np.where(n > 1, same[last] - same[first], 0)
     worst = np.zeros(len(n))
-    if toxic is not None and len(held):
+    if toxic is not None and len(toxic[0]) and len(held):
+        known, weight = toxic
+        at_ = np.minimum(np.searchsorted(known, held), len(known) - 1)
         some = np.flatnonzero(n)
-        worst[some] = np.maximum(0, np.maximum.reduceat(toxic[bucket_of(held)], bounds[:-1][some]))
+        worst[some] = np.maximum(0, np.maximum.reduceat(np.where(known[at_] == held, weight[at_], 0), bounds[:-1][some]))
     some = np.maximum(n, 1)
     size = np.maximum(np.diff(at).astype(float), 1)
     x = np.stack(
@@ -104,18 +109,16 @@ def features(texts: pa.Array, toxic: np.ndarray | None = None) -> np.ndarray:
     return x
 
 
-def bucket_of(words: np.ndarray) -> np.ndarray:
-    return (words & np.uint64(BUCKETS - 1)).astype(np.int64)
-
-
-def toxic_weights(found: np.ndarray, toxic: int, other: int) -> np.ndarray:
-    """Log odds of each bucket's words, from how many toxic and other documents have them (rows bucket, toxic, other); 0 for rare ones."""
-    out = np.zeros(BUCKETS, np.float32)
-    if len(found) and toxic and other:
-        bucket, a, b = found.T
-        said = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (other + 1))
-        out[bucket] = np.where(a + b >= LEAST_DOCS, said, 0)
-    return out
+def telling(found: np.ndarray, toxic: int, other: int) -> Words:
+    """Words with their log odds less twice the standard error, from how many toxic and other documents have them (rows hash, toxic, other)."""
+    if not len(found) or not toxic or not other:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    found = found[found[:, 1] >= max(LEAST_DOCS, LEAST_SHARE * toxic)]
+    word, a, b = found[:, 0].astype(np.int64).view(np.uint64), found[:, 1], found[:, 2]
+    said = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (other + 1)) - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    order = np.argsort(word)
+    order = order[said[order] > 0]
+    return word[order], said[order]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> dict:
@@ -140,39 +143,50 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> d
     return model
 
 
+def _llr(x: np.ndarray, fitted: dict) -> np.ndarray:
+    z = (x - fitted["mean"]) / fitted["scale"] @ fitted["weights"][:-1] + fitted["weights"][-1]
+    return np.clip(z - fitted["prior"], -20, 20)
+
+
 def evidence(x: np.ndarray, model: dict) -> np.ndarray:
-    """Log likelihood ratio of good against bad quality, between -20 and 20; nil for a text without a word."""
-    z = (x - model["mean"]) / model["scale"] @ model["weights"][:-1] + model["weights"][-1]
-    return np.where(x.any(axis=1), np.clip(z - model["prior"], -20, 20), 0.0)
+    """Log likelihood ratio of good against bad, between -20 and 20; nil for a text without a word.
+
+    It is that of the quality, or that of being not toxic where the text has a
+    telling word and this is the less.
+    """
+    own, worst = _llr(x[:, :-1], model["quality"]), x[:, -1:]
+    # brought to the prior of quality, so that with it the logit of being not toxic comes out
+    other = np.clip(_llr(worst, model["not_toxic"]) + model["not_toxic"]["prior"] - model["prior"], -20, 20)
+    own = np.where(worst[:, 0] > 0, np.minimum(own, other), own)
+    return np.where(x.any(axis=1), own, 0.0)
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, toxic, other): how many documents of a batch have a word of the bucket; bucket -1 counts the documents."""
+    """(word, toxic, other): how many toxic and other documents of a part of a batch have a word."""
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-        counts = np.zeros((2, BUCKETS), np.int64)
         for i, texts in tb.chunks(tb.string_array(batch.column("text"))):
             w = tb.words(texts)
-            held, bounds = tb.distinct_by_row(bucket_of(w.hash), w.first)
-            np.add.at(counts, (np.repeat(toxic[i : i + len(texts)], np.diff(bounds)), held), 1)
-        some = np.flatnonzero(counts.any(axis=0))
-        rows = np.concatenate([[[-1, toxic.sum(), len(toxic) - toxic.sum()]], np.stack([some, counts[1, some], counts[0, some]], 1)])
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], ["bucket", "toxic", "other"])
+            held, bounds = tb.distinct_by_row(w.hash, w.first)
+            word, at = np.unique(held, return_inverse=True)
+            bad = np.repeat(toxic[i : i + len(texts)], np.diff(bounds))
+            a = np.bincount(at, bad, len(word)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (word.view(np.int64), a, np.bincount(at, minlength=len(word)) - a)], ["word", "toxic", "other"])
 
 
-def _features_of(toxic: np.ndarray):
+def _features_of(toxic: Words):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, texts in tb.chunks(tb.string_array(batch.column("text"))):
                 x = features(texts, toxic)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column("good").slice(i, len(texts)), lists], ["good", "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, len(texts)) for c in ("quality", "toxic", "for_words")), lists], ["quality", "toxic", "for_words", "x"])
 
     return emit
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict:
-    """The weights of words and the regression, fitted on at most ``max_labelled`` labelled documents, half of them each.
+    """The weights of words and the regressions, fitted on at most ``max_labelled`` labelled documents.
 
     Labels with a null quality or doc_id are left out, a null toxic counts as 0;
     of several labels of a document, the worst counts.
@@ -183,17 +197,22 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
-        .select("doc_id", "toxic", F.when(F.col("toxic") > 0, 0).otherwise(F.col("quality")).cast("int").alias("good"), (F.xxhash64("doc_id") % 2 == 0).alias("for_words"))
+        .select("doc_id", "toxic", F.col("quality").cast("int").alias("quality"), (F.xxhash64("doc_id") % 2 == 0).alias("for_words"))
     )
-    rows = durable(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").select("text", "toxic", "good", "for_words"))
-    found = rows.where("for_words").select("text", "toxic").mapInArrow(_words_of, "bucket long, toxic long, other long")
-    found = found.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas().to_numpy(np.int64)
-    whole = found[found[:, 0] < 0][:, 1:].sum(axis=0)
-    toxic = toxic_weights(found[found[:, 0] >= 0], *whole.tolist())
-    table = rows.where("not for_words").select("text", "good").mapInArrow(_features_of(toxic), "good int, x array<double>").toPandas()
+    rows = durable(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").select("text", "toxic", "quality", "for_words"))
+    teach = rows.where("for_words")
+    whole = teach.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("a"), F.count("*").alias("n")).first()
+    counted = teach.select("text", "toxic").mapInArrow(_words_of, "word long, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    # the share bounds their number
+    some = counted.where(F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * whole["a"])).toPandas().to_numpy(np.int64)
+    toxic = telling(some, whole["a"], whole["n"] - whole["a"])
+    table = rows.select("text", "quality", "toxic", "for_words").mapInArrow(_features_of(toxic), "quality int, toxic int, for_words boolean, x array<double>").toPandas()
     x = np.stack(table["x"].to_list()) if len(table) else np.zeros((0, len(FEATURES)))
     order = np.lexsort(x.T)
-    return fit(x[order], table["good"].to_numpy(float)[order]) | {"toxic": toxic}
+    x, quality, bad, words = x[order], *(table[c].to_numpy(float)[order] for c in ("quality", "toxic", "for_words"))
+    # what is learnt from words must not be judged on the documents that taught them
+    fitted = {"quality": fit(x[:, :-1], quality), "not_toxic": fit(x[words == 0][:, -1:], 1 - bad[words == 0])}
+    return fitted | {"prior": fitted["quality"]["prior"], "toxic": toxic}
 
 
 def _score(model: dict):

@@ -409,6 +409,9 @@ def test_language(spark, odd):
         return total
 
     sample = [b"the cat sat on the mat", b"the dog ate"]
+    twins = language.train(spark.createDataFrame([(1, "same words here", "xx"), (2, "same words here", "aa")], "doc_id long, text string, lang string"))
+    assert [(x["language"], x["margin"]) for x in language.identify(d.limit(1), twins).collect()] == [("aa", 0.0)]  # a tie
+    assert language.identify(odd.limit(0), trees).count() == 0
     data = b"the hat met a zebra"
     t = language.Trees({"a": sample, "b": [b"other things"]})
     assert t.bits(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0, 0] == pytest.approx(plain(sample, data), rel=1e-4)
@@ -641,7 +644,7 @@ def test_words_and_grams():
     assert np.diff(bounds).tolist() == [3, 0, 1, 3, 0]
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline(spark, odd, tmp_path):
     import corpus_pipeline
 
     r = random.Random(29)
@@ -652,5 +655,10 @@ def test_pipeline(spark, tmp_path):
     docs(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, int(i < 42), 0) for i in range(72)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for rows in (odd, odd.limit(0), odd.withColumnsRenamed({"host": "llr", "grams": "kept"})):  # nulls, empty and long texts, repeated rows, other columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, folder)
+            assert out.columns == rows.columns if name != "packing" else "doc_ids" in out.columns
+            assert name == "packing" or out.count() <= rows.count()
     packed = corpus_pipeline.run(spark, folder).collect()
     assert {d for b in packed for d in b["doc_ids"]} == set(range(40))
