@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet in the folder that all executors share and reads it again as the
 next one's documents, so that a lost executor costs at most a stage.
+
+Rows with a null doc_id go through every stage but packing, unless the quality
+classifier rejects them. Null, empty and blank texts are rejected by it. Repeated
+rows of a doc_id are judged alike; the Jaccard join and decontamination keep or
+drop all of them. Other columns, whatever their names, are carried along up to
+packing. Empty documents give no sequence; empty labels reject only texts without
+a word; an empty benchmark rejects nothing.
 """
 
 from __future__ import annotations
