@@ -10,8 +10,8 @@ documents has changes one word. In short documents every n-gram is a word.
 So similar documents have all words in common but so many, and if the words are
 taken in one order, the same for all documents, then the first ``differ + SHARED``
 of each hold at least SHARED common ones (prefix filter). The order puts the words
-of the rarest n-grams first, as a sample of the documents tells them. It decides
-how many strangers meet, never which similar documents do.
+of the rarest n-grams first, counted over all documents. It decides how many
+strangers meet, never which similar documents do.
 
 Documents that have a word in common meet in that word's list. Groups of copies
 would make all pairs of their members there, so groups are found first: in a few
@@ -49,8 +49,8 @@ BROADCAST_ROWS = 500_000
 SHARED = 3
 #: Sizes from which n-grams are dealt into sketch words; in smaller sets each is a word.
 DEALT = 64
-#: Documents of the sample that tells which n-grams are rare.
-SAMPLE = 20_000
+#: Counters that tell which n-grams are rare, and the blocks that they are summed in; n-grams of one counter are as rare as all of them together.
+COUNTERS, BLOCKS = 1 << 20, 64
 #: Candidate pairs put out at once.
 PAIRS = 1 << 18
 #: Members of a list in one row; longer lists take several, and those are held against each other in pairs.
@@ -105,18 +105,14 @@ def _needs(size: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     return alone, np.where(alone, 1, np.minimum(SHARED, share))
 
 
-def signatures(sets: np.ndarray, bounds: np.ndarray, t: float, grams: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def signatures(sets: np.ndarray, bounds: np.ndarray, t: float, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, signature) of all rows; for each row the least number of signatures it has in a band, and a hash of its whole set.
 
     Signatures are the first sketch words of the row's band, and of the band below
-    where a smaller partner may be. grams, weights: hashes of n-grams, sorted, and
-    their weights; others are as rare as any.
+    where a smaller partner may be. weights: of the n-grams of each counter.
     """
     size = np.diff(bounds)
-    weight = np.full(len(sets), int(weights.max(initial=0)) + 1, np.int64)
-    if len(grams):
-        place = np.minimum(np.searchsorted(grams, sets), len(grams) - 1)
-        weight = np.where(grams[place] == sets, weights[place], weight)
+    weight = weights[_counter(sets)].astype(np.int64)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix(sets ^ np.uint64(tb._INVERSE)), dtype=np.uint64)])
     key = tb.mix(total[bounds[1:]] - total[bounds[:-1]] + size.astype(np.uint64))
     low, words = bands(t, int(size.max(initial=1)))
@@ -166,7 +162,11 @@ def _gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tb.distinct_by_row(*tb.grams(tb.words(texts), n))
 
 
-def _emit_signatures(n: int, t: float, grams: np.ndarray, weights: np.ndarray, buckets: int):
+def _counter(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(32)).astype(np.int64) % COUNTERS
+
+
+def _emit_signatures(n: int, t: float, weights: np.ndarray, buckets: int):
     """Packed rows of signatures; of the documents of a task with equal sets only the first, and rows with size -1 that link the others to it."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def _emit_signatures(n: int, t: float, grams: np.ndarray, weights: np.ndarray, b
             for i, texts in tb.chunks(tb.string_array(batch.column("text"))):
                 sets, bounds = _gram_sets(texts, n)
                 size = np.diff(bounds).astype(np.int64)
-                row, sign, least, key = signatures(sets, bounds, t, grams, weights)
+                row, sign, least, key = signatures(sets, bounds, t, weights)
                 own = ids[i : i + len(size)]
                 first = np.fromiter((firsts.setdefault(k, d) for k, d in zip(key.tolist(), own.tolist())), np.int64, len(own))
                 again = (first != own) & (size > 0)
@@ -199,31 +199,54 @@ def _emit_signatures(n: int, t: float, grams: np.ndarray, weights: np.ndarray, b
     return emit
 
 
-def _emit_grams(n: int):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(number: np.ndarray) -> bytes:
+    # the bytes of one rank together, as most are 0
+    return pa.compress(number.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    each = pa.decompress(packed, COUNTERS // BLOCKS * 8, "zstd", asbytes=True)
+    return np.frombuffer(each, np.uint8).reshape(8, -1).T.copy().view(np.int64)[:, 0]
+
+
+def _count_grams(n: int):
+    """(block, numbers): in how many of a task's documents the n-grams of each counter are, a row a block."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            found = [np.unique(_gram_sets(part, n)[0], return_counts=True) for _, part in tb.chunks(tb.string_array(batch.column("text")))]
-            grams = np.concatenate([g for g, _ in found]) if found else np.zeros(0, np.uint64)
-            known, place = np.unique(grams, return_inverse=True)
-            number = np.bincount(place, np.concatenate([c for _, c in found]) if found else None, len(known))
-            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(number.astype(np.int64))], ["gram", "number"])
+            held = [_counter(_gram_sets(part, n)[0]) for _, part in tb.chunks(tb.string_array(batch.column("text")))]
+            if held:
+                number += np.bincount(np.concatenate(held), minlength=COUNTERS)
+        blocks = pa.array(np.arange(BLOCKS, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([blocks, pa.array([_packed(x) for x in number.reshape(BLOCKS, -1)], pa.binary())], ["block", "numbers"])
 
-    return emit
+    return count
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    total = np.zeros(COUNTERS // BLOCKS, np.int64)
+    for packed in rows.column("numbers"):
+        total += _unpacked(packed.as_py())
+    return pa.table({"block": rows.column("block").slice(0, 1), "numbers": pa.array([_packed(total)], pa.binary())})
+
+
+def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
+    """In how many of the documents, all of them, the n-grams of each counter are."""
+    counted = docs.select("text").mapInArrow(_count_grams(n), "block int, numbers binary").groupBy("block").applyInArrow(_summed, "block int, numbers binary")
+    number = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
+    for row in counted.toArrow().to_pylist():
+        number[row["block"]] = _unpacked(row["numbers"])
+    return number.ravel()
 
 
-def gram_weights(docs: DataFrame, n: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the n-grams that several documents of a sample have, and weights that are greater the rarer they are.
+def gram_weights(docs: DataFrame, n: int) -> np.ndarray:
+    """Weights of the n-grams of each counter that are greater the rarer they are.
 
     The weights only order the sketch words; any would give the same similar pairs.
     """
-    many = docs.count()
-    some = docs if many <= sample else docs.sample(sample / many, seed=1)
-    counted = some.select("text").mapInArrow(_emit_grams(n), "gram long, number long").groupBy("gram").agg(F.sum("number").alias("number"))
-    rows = counted.where("number > 1").toPandas()
-    grams, number = rows["gram"].to_numpy(np.int64).view(np.uint64), rows["number"].to_numpy(np.int64)
-    order = np.argsort(grams)
-    weights = np.round(8 * np.log2(min(many, sample) / np.maximum(number[order], 1))).astype(np.int64) + 1
-    return grams[order], np.maximum(weights, 1)
+    number = np.maximum(gram_counts(docs, n), 1)
+    return np.round(8 * np.log2(number.max() / number)).astype(np.int16) + np.int16(1)
 
 
 def _emit_lists(rows: list[list[np.ndarray]], part: int) -> Iterator[pa.RecordBatch]:
@@ -285,7 +308,7 @@ def _meetings(docs: DataFrame, n: int, t: float) -> DataFrame:
     Rows of list -1 link a document to one with the same set: docs = [first, other].
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.mapInArrow(_emit_signatures(n, t, *gram_weights(docs, n), buckets), "bucket int, doc_id long, meta long, signs array<int>")
+    packed = docs.mapInArrow(_emit_signatures(n, t, gram_weights(docs, n), buckets), "bucket int, doc_id long, meta long, signs array<int>")
     # a row that links equal sets goes along, under the sign 0
     rows = packed.repartitionById(buckets, "bucket").select("bucket", "doc_id", "meta", F.explode_outer("signs").alias("sign"))
     rows = rows.select("bucket", F.coalesce("sign", F.lit(0)).alias("sign"), "doc_id", "meta").sortWithinPartitions("bucket", "sign", "meta", "doc_id")

@@ -120,6 +120,42 @@ def test_jaccard_join_groups_are_those_of_all_pairs(spark, monkeypatch, parts, p
     assert {frozenset(g) for g in got.values()} == components(near, len(texts))
 
 
+def test_jaccard_join_counts_all_documents(spark):
+    many = 25_000
+    rows = spark.range(many).selectExpr("id as doc_id", "concat('w', id % 50, ' x', id, ' X', id) as text")
+    want = Counter()
+    for start in range(0, many, 5000):
+        texts = pa.array([f"w{i % 50} x{i}" for i in range(start, start + 5000)], pa.large_string())
+        want.update(jaccard_join._counter(tb.words(texts).hash).tolist())
+    for parts in (1, 5):
+        number = jaccard_join.gram_counts(rows.repartition(parts), 1)
+        assert number.sum() == 2 * many
+        assert {int(i): int(number[i]) for i in np.flatnonzero(number)} == want
+    weight = jaccard_join.gram_weights(rows, 1)
+    held = np.flatnonzero(number)
+    assert (np.diff(weight[held[np.argsort(number[held])]].astype(int)) <= 0).all()
+    assert (jaccard_join.gram_weights(rows.limit(0), 1) == 1).all()
+
+
+def test_jaccard_join_groups_are_the_same_by_any_weights(spark, monkeypatch):
+    r = random.Random(8)
+    texts = []
+    for size in (5, 12, 30, 62, 70, 110, 400) * 4:
+        base = words(r, size).split()
+        for changes in (0, size // 20, size // 9, size // 5):
+            copy = list(base)
+            for i in r.sample(range(size), changes):
+                copy[i] = words(r, 1)
+            texts.append(" ".join(copy))
+    rows = docs(spark, texts)
+    want = sorted(jaccard_join.keep_one(rows).select("doc_id").toPandas()["doc_id"])
+    weights = np.random.default_rng(8).integers(1, 300, jaccard_join.COUNTERS).astype(np.int16)
+    for other in (np.ones_like(weights), weights):
+        monkeypatch.setattr(jaccard_join, "gram_weights", lambda *_, other=other: other)
+        assert sorted(jaccard_join.keep_one(rows).select("doc_id").toPandas()["doc_id"]) == want
+    assert len(want) < len(texts)
+
+
 def test_jaccard_join_edges_of_input(spark, odd):
     kept = {r["doc_id"] for r in jaccard_join.keep_one(odd).collect()}
     assert kept == {None, 0, 1, 2, 3, 5, 7, 8}
