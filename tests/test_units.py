@@ -168,3 +168,15 @@ def test_changes(spark):
     r = N.line_changes(spark.createDataFrame([("p", a, b), ("q", None, ""), ("r", a, a)], "path string, old string, new string")).collect()
     said = list(difflib.unified_diff(a.split("\n"), b.split("\n"), lineterm=""))
     assert (r[0]["lines_added"], r[0]["lines_removed"]) == (sum(x.startswith("+") and not x.startswith("+++") for x in said), sum(x.startswith("-") and not x.startswith("---") for x in said)) and r[1]["lines_added"] == r[2]["lines_added"] == 0
+
+
+def test_pair_similarity_is_what_its_sql_makes(spark):
+    # ties at the sixth digit too, so no tolerance
+    duckdb = pytest.importorskip("duckdb")
+    from lodestone.plans import code_search, registry
+
+    folder = "/root/testdata/sf0.01"
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
+        want = set(db.execute(registry.oracle_sql()["rk10_pair_similarity"]).fetchall())
+    assert {tuple(r) for r in code_search.rk10(spark, folder).collect()} == want
