@@ -51,6 +51,8 @@ SHARED = 3
 DEALT = 64
 #: Counters that tell which n-grams are rare, and the blocks that they are summed in; n-grams of one counter are as rare as all of them together.
 COUNTERS, BLOCKS = 1 << 20, 64
+#: Signatures of a task that are packed together, and those unpacked at once.
+PACKED, UNPACKED = 1 << 19, 1 << 16
 #: Candidate pairs put out at once.
 PAIRS = 1 << 18
 #: Members of a list in one row; longer lists take several, and those are held against each other in pairs.
@@ -166,12 +168,50 @@ def _counter(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(32)).astype(np.int64) % COUNTERS
 
 
+def _packed(number: np.ndarray) -> bytes:
+    # the bytes of one rank together, as most are 0
+    return pa.compress(number.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, many: int) -> np.ndarray:
+    each = pa.decompress(packed, many * 8, "zstd", asbytes=True)
+    return np.frombuffer(each, np.uint8).reshape(8, -1).T.copy().view(np.int64)[:, 0]
+
+
+def _pack_signatures(bucket: np.ndarray, doc: np.ndarray, meta: np.ndarray, sign: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket, with its documents, metas and signs; so a signature takes as many bytes in many buckets as in few."""
+    order = np.lexsort((doc, meta, bucket))
+    bucket, doc, meta, sign = (c[order] for c in (bucket, doc, meta, sign))
+    cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
+    many, docs, metas, signs = [], [], [], []
+    for a, b in zip(cut[:-1], cut[1:]):
+        least = doc[a:b].min(keepdims=True)
+        many.append(b - a)
+        docs.append(_packed(np.concatenate([least, doc[a:b] - least])))
+        metas.append(_packed(np.diff(meta[a:b], prepend=0)))
+        signs.append(sign[a:b].tobytes())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(many, pa.int32()), *(pa.array(x, pa.binary()) for x in (docs, metas, signs))], ["bucket", "many", "docs", "metas", "signs"]
+    )
+
+
+def _unpack_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, sign, doc_id, meta) of rows that ``_pack_signatures`` made."""
+    for batch in batches:
+        for x in batch.to_pylist():
+            doc = _unpacked(x["docs"], x["many"] + 1)
+            rows = [np.full(x["many"], x["bucket"], np.int32), np.frombuffer(x["signs"], np.int32), doc[1:] + doc[0], np.cumsum(_unpacked(x["metas"], x["many"]))]
+            for i in range(0, x["many"], UNPACKED):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + UNPACKED]) for c in rows], ["bucket", "sign", "doc_id", "meta"])
+
+
 def _emit_signatures(n: int, t: float, weights: np.ndarray, buckets: int):
-    """Packed rows of signatures; of the documents of a task with equal sets only the first, and rows with size -1 that link the others to it."""
+    """Packed rows of signatures; of the documents of a task with equal sets only the first, and signatures of a negative meta, in bucket 0, that link the others to it."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts: dict[int, int] = {}
-        names = ["bucket", "doc_id", "meta", "signs"]
+        held: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for i, texts in tb.chunks(tb.string_array(batch.column("text"))):
@@ -184,31 +224,21 @@ def _emit_signatures(n: int, t: float, weights: np.ndarray, buckets: int):
                 keep = ~again[row]
                 # repeated rows of one document, too, count once
                 row, sign = row[keep], sign[keep]
-                if again.any():
-                    many = int(again.sum())
-                    none = pa.array(np.zeros(many, np.int32))
-                    empty = pa.ListArray.from_arrays(pa.array(np.zeros(many + 1, np.int32)), pa.array(np.zeros(0, np.int32)))
-                    yield pa.RecordBatch.from_arrays([none, pa.array(own[again]), pa.array(-1 - first[again]), empty], names)
-                bucket = (sign >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(row * buckets + bucket.astype(np.int64), kind="stable")
-                row, bucket, low = row[order], bucket[order], sign[order].astype(np.uint32).view(np.int32)
-                cut = np.flatnonzero(np.diff(row * buckets + bucket.astype(np.int64), prepend=-1))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(row)).astype(np.int32)), pa.array(low))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(own[row[cut]]), pa.array((size << 32 | least)[row[cut]]), lists], names)
+                none = np.zeros(int(again.sum()), np.int32)
+                bucket = ((sign >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+                low = sign.astype(np.uint32).view(np.int32)
+                new = (np.append(bucket, none), np.append(own[row], own[again]), np.append((size << 32 | least)[row], -1 - first[again]), np.append(low, none))
+                held.append(new)
+                waiting += len(new[0])
+                if waiting >= PACKED:
+                    yield _pack_signatures(*(np.concatenate(x) for x in zip(*held)))
+                    held, waiting = [], 0
+        if waiting:
+            yield _pack_signatures(*(np.concatenate(x) for x in zip(*held)))
 
     return emit
 
 
-def _packed(number: np.ndarray) -> bytes:
-    # the bytes of one rank together, as most are 0
-    return pa.compress(number.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
-
-
-def _unpacked(packed: bytes) -> np.ndarray:
-    each = pa.decompress(packed, COUNTERS // BLOCKS * 8, "zstd", asbytes=True)
-    return np.frombuffer(each, np.uint8).reshape(8, -1).T.copy().view(np.int64)[:, 0]
-
-
 def _count_grams(n: int):
     """(block, numbers): in how many of a task's documents the n-grams of each counter are, a row a block."""
 
@@ -227,7 +257,7 @@ def _count_grams(n: int):
 def _summed(rows: pa.Table) -> pa.Table:
     total = np.zeros(COUNTERS // BLOCKS, np.int64)
     for packed in rows.column("numbers"):
-        total += _unpacked(packed.as_py())
+        total += _unpacked(packed.as_py(), len(total))
     return pa.table({"block": rows.column("block").slice(0, 1), "numbers": pa.array([_packed(total)], pa.binary())})
 
 
@@ -236,7 +266,7 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
     counted = docs.select("text").mapInArrow(_count_grams(n), "block int, numbers binary").groupBy("block").applyInArrow(_summed, "block int, numbers binary")
     number = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
     for row in counted.toArrow().to_pylist():
-        number[row["block"]] = _unpacked(row["numbers"])
+        number[row["block"]] = _unpacked(row["numbers"], COUNTERS // BLOCKS)
     return number.ravel()
 
 
@@ -308,10 +338,9 @@ def _meetings(docs: DataFrame, n: int, t: float) -> DataFrame:
     Rows of list -1 link a document to one with the same set: docs = [first, other].
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.mapInArrow(_emit_signatures(n, t, gram_weights(docs, n), buckets), "bucket int, doc_id long, meta long, signs array<int>")
-    # a row that links equal sets goes along, under the sign 0
-    rows = packed.repartitionById(buckets, "bucket").select("bucket", "doc_id", "meta", F.explode_outer("signs").alias("sign"))
-    rows = rows.select("bucket", F.coalesce("sign", F.lit(0)).alias("sign"), "doc_id", "meta").sortWithinPartitions("bucket", "sign", "meta", "doc_id")
+    packed = docs.mapInArrow(_emit_signatures(n, t, gram_weights(docs, n), buckets), "bucket int, many int, docs binary, metas binary, signs binary")
+    rows = packed.repartitionById(buckets, "bucket").mapInArrow(_unpack_signatures, "bucket int, sign int, doc_id long, meta long")
+    rows = rows.sortWithinPartitions("bucket", "sign", "meta", "doc_id")
     return written(rows.mapInArrow(_lists, "list long, part int, docs array<long>, metas array<long>"))
 
 
@@ -497,8 +526,9 @@ def near_duplicate_edges(docs: DataFrame, n: int = N, t: float = T) -> DataFrame
             break
         edges = written(edges.union(verified(_sets_of(docs, pairs, n), pairs, t)))
     labels = connected_components(edges, "doc_id", "center")
-    long = lists.where("part > 0").select("list").distinct()
-    split = lists.join(long, "list", "left_semi")
+    # at most one in PART signatures is a long list's last: the other lists don't travel to find theirs
+    long = durable(lists.where("part > 0").select("list").distinct())
+    split = lists.join(_small(long), "list", "left_semi")
     ahead = split.select("list", F.col("part").alias("next"), F.col("docs").alias("d"), F.col("metas").alias("m"))
     across = split.join(ahead, "list").where("part < next").select(
         "list", "part", "next", F.size("docs").alias("split"), F.concat("docs", "d").alias("docs"), F.concat("metas", "m").alias("metas")

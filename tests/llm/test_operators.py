@@ -156,6 +156,41 @@ def test_jaccard_join_groups_are_the_same_by_any_weights(spark, monkeypatch):
     assert len(want) < len(texts)
 
 
+def test_jaccard_join_signatures_take_as_many_bytes_in_many_buckets(spark):
+    texts = pa.array([" ".join(f"w{i * 200 + k}" for k in range(70 + i % 100)) for i in range(3000)], pa.large_string())
+    ids = np.arange(3000) * 7 - 10**17
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), texts], ["doc_id", "text"])
+    weights = np.ones(jaccard_join.COUNTERS, np.int16)
+    took, seen = {}, {}
+    for buckets in (12, 600):
+        rows = list(jaccard_join._emit_signatures(1, 0.8, weights, buckets)([batch]))
+        took[buckets] = sum(x.nbytes for x in rows)
+        got = pa.Table.from_batches(jaccard_join._unpack_signatures(rows)).to_pandas()
+        seen[buckets] = sorted(zip(got["doc_id"], got["meta"], got["sign"]))
+    sets, bounds = jaccard_join._gram_sets(texts, 1)
+    row, sign, least, _ = jaccard_join.signatures(sets, bounds, 0.8, weights)
+    meta = np.diff(bounds) << 32 | least
+    want = sorted(zip(ids[row].tolist(), meta[row].tolist(), sign.astype(np.uint32).view(np.int32).tolist()))
+    assert seen[12] == seen[600] == want
+    assert took[600] < 10 * len(row)
+
+
+def test_jaccard_join_sends_no_list_to_find_long_ones(spark, monkeypatch):
+    r = random.Random(15)
+    base = words(r, 40)
+    plans = []
+    own = jaccard_join._labelled
+
+    def labelled(lists, *rest):
+        plans.append(lists._jdf.queryExecution().optimizedPlan().toString())
+        return own(lists, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_labelled", labelled)
+    assert jaccard_join.near_duplicate_groups(docs(spark, [base, base + " x", words(r, 40)])).count() == 2
+    semi = [line for line in plans[-1].split("\n") if "LeftSemi" in line]
+    assert len(semi) == 2 and all("strategy=broadcast" in line for line in semi)
+
+
 def test_jaccard_join_edges_of_input(spark, odd):
     kept = {r["doc_id"] for r in jaccard_join.keep_one(odd).collect()}
     assert kept == {None, 0, 1, 2, 3, 5, 7, 8}
