@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import embed as M
 from lodestone.functions import text as T
 from lodestone.operators import analysis as A
+from lodestone.operators import blocks as B
 from lodestone.operators import edges as E
 from lodestone.operators import front as Q
 from lodestone.operators import incremental as N
@@ -180,3 +181,25 @@ def test_pair_similarity_is_what_its_sql_makes(spark):
         db.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
         want = set(db.execute(registry.oracle_sql()["rk10_pair_similarity"]).fetchall())
     assert {tuple(r) for r in code_search.rk10(spark, folder).collect()} == want
+
+
+def test_pairs_in_blocks(spark):
+    # keys of none, one and several blocks, ties, and a null key, which meets nothing
+    rows = [(i, "pqr"[i % 3] if i % 7 else None, i // 2) for i in range(40)] + [(99, "alone", 1)]
+    df = spark.createDataFrame(rows, "id int, f string, k int")
+    want = sorted((x[0], y[0]) for x in rows for y in rows if x[1] is not None and x[1] == y[1] and x[2] < y[2])
+    for block in (1, 3, 1000):
+        got = B.ordered_pairs(df, "f", "k", block)
+        assert sorted((r["a_id"], r["b_id"]) for r in got.collect()) == want
+        a, b = df.where("id % 2 = 0").select("f", F.col("id").alias("x")), df.where("id % 2 = 1").select("f", F.col("id").alias("y"))
+        want_all = sorted((x[0], y[0]) for x in rows for y in rows if x[1] is not None and x[1] == y[1] and x[0] % 2 == 0 and y[0] % 2 == 1)
+        assert sorted((r["x"], r["y"]) for r in B.pairs(a, b, "f", "x", "y", block).collect()) == want_all
+
+
+def test_pair_similarity_counts_a_text_once(spark):
+    # texts took part in the join, and each was read again for each pair
+    from lodestone.plans import code_search
+
+    plan = code_search.rk10(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.split("Join Inner")[0]
+    assert "Join Inner" in plan and "class " not in joined and "content" not in joined and "length" not in joined
