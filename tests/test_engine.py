@@ -187,3 +187,36 @@ def test_store_and_streams(spark, tmp_path):
     stream = jobs.windowed_counts(spark.readStream.schema("ts timestamp, kind string").parquet(str(tmp_path / "ev")), "ts", "kind")
     stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert {(str(r["window_start"]), r["kind"], r["n"]) for r in spark.table("counts").collect()} == {("2024-01-01 00:00:00", "x", 2), ("2024-01-01 03:00:00", "y", 1)}
+
+
+def test_python_in_pieces_is_the_whole():
+    # what looks like a statement at the margin is in a string, in brackets, or goes on a statement
+    odd = SHAPES + 'x = """\ny = 1\ndef no(): pass\n"""\nif x:\n    a = 1\nelse:\n    b = 2\ntry:\n    import re\nfinally:\n    c = (\n1,\n2)\n@wraps\n\n# more\nasync def last(k): return k\r\nz = 1\rw = 2\n__all__ += ["last", "b"]\nd = 1 + \\\n2\n'
+    text = odd * 3
+    whole = P.parse_python(text, len(text) + 1)
+    assert {s["name"] for s in whole[0] if s["is_exported"]} >= {"last", "b", "area"}
+    for piece in (1, 20, 300):
+        assert P.parse_python(text, piece) == whole
+    assert len(list(P.python_pieces(text, 1))) > 20
+    for wrong in ("a = 1\nb = (\nc = 2\n", "def f(:\n", "a = 1\n  b = 2\n", 'x = """\n' + text, "a\x00b"):
+        said = []
+        for parse in (lambda: __import__("ast").parse(wrong), lambda: P.parse_python(wrong, 4)):
+            with pytest.raises((SyntaxError, ValueError)) as found:
+                parse()
+            said.append(str(found.value))
+        assert said[0] == said[1]
+
+
+def test_a_long_file_costs_its_length(spark):
+    # every symbol's row held the whole file
+    from lodestone.operators import units as N
+
+    text = "\n".join(f'class C{i}:\n    """Döc {i}"""\n    def run(self):\n        return {i}\n' for i in range(300))
+    rows = [("a.py", "python", text), ("b.py", "python", ""), ("c.py", "python", None), ("d.py", "cobol", "x"), ("e.py", "python", "def f(:")]
+    files = P.parsed(spark.createDataFrame(rows, "path string, file_type string, content string"))
+    assert {r["path"]: (len(r["symbols"]), r["error"] is None) for r in files.collect()} == {"a.py": (600, True), "b.py": (0, True), "c.py": (0, True), "d.py": (0, True), "e.py": (0, False)}
+    made = N.symbol_units(files)
+    found = {r["symbol"]["name"]: r["content"] for r in made.collect()}
+    assert len(found) == 301 and found["C7"] == 'class C7:\n    """Döc 7"""\n    def run(self):\n        return 7' and found["run"] == "    def run(self):\n        return 299"
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan
