@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.edges import unsent
+
 #: (analysis, issue, severity, confidence, pattern). Java and RE2 read the patterns alike.
 RULES = tuple(
     [("security", issue, "critical", 0.8, f"(?i){p}") for issue, ps in {
@@ -151,7 +153,7 @@ def tagged(units: DataFrame, kinds: dict[str, str]) -> DataFrame:
 def many_members(edges: DataFrame, units: DataFrame, more_than: int) -> DataFrame:
     """(id, file_path) of classes with more than so many edges of containment."""
     large = edges.where("relation_type = 'contains'").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") > more_than)
-    return units.where(_CLASS).join(large, "id", "left_semi").select("id", "file_path")
+    return units.where(_CLASS).join(unsent(large), "id", "left_semi").select("id", "file_path")
 
 
 def unit_patterns(units: DataFrame, edges: DataFrame) -> DataFrame:
@@ -162,7 +164,7 @@ def unit_patterns(units: DataFrame, edges: DataFrame) -> DataFrame:
 def feature_envy(units: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, file_path) of units whose calls go to other files more than twice as often as to their own."""
     a, b = units.select(F.col("id").alias("src"), "file_path"), units.select(F.col("id").alias("dst"), F.col("file_path").alias("to"))
-    called = edges.where("relation_type = 'calls'").select("src", "dst").join(a, "src").join(b, "dst", "left")
+    called = edges.where("relation_type = 'calls'").select("src", "dst").join(unsent(a), "src").join(unsent(b), "dst", "left")
     own = F.count(F.when(F.col("to") == F.col("file_path"), 1))
     return called.groupBy(F.col("src").alias("id"), "file_path").agg(own.alias("own"), F.count("*").alias("n")).where("n - own > 2 * own").select("id", "file_path")
 
@@ -172,7 +174,7 @@ def smells(units: DataFrame, edges: DataFrame, duplicated: DataFrame, shotgun: D
     out = tagged(units, SMELLS).union(many_members(edges, units, 20).withColumn("pattern", F.lit("large_class"))).union(feature_envy(units, edges).withColumn("pattern", F.lit("feature_envy")))
     places = units.select("id", "file_path")
     for name, ids in (("duplicated_code", duplicated), ("shotgun_surgery", shotgun)):
-        out = out.union(places.join(ids.select("id").distinct(), "id", "left_semi").withColumn("pattern", F.lit(name)))
+        out = out.union(places.join(unsent(ids.select("id").distinct()), "id", "left_semi").withColumn("pattern", F.lit(name)))
     return out
 
 
@@ -223,7 +225,8 @@ def metrics(units: DataFrame, kind: str, by: str | None = None) -> DataFrame:
 
 def coupling_metrics(units: DataFrame, edges: DataFrame, by_file: DataFrame) -> DataFrame:
     """Coupling in one row: edges by unit, and what files need of each other (by_file: file_path, afferent, efferent)."""
-    own = units.select("id").join(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.count(F.when(F.col("relation_type") == "imports", 1)).alias("i")), "id", "left").na.fill(0, ["n", "i"])
+    per_unit = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.count(F.when(F.col("relation_type") == "imports", 1)).alias("i"))
+    own = units.select("id").join(unsent(per_unit), "id", "left").na.fill(0, ["n", "i"])
     one = own.agg(F.round(F.avg("n"), 6).alias("avg_coupling"), F.max("n").alias("max_coupling"), F.sum("n").alias("total_coupling"), F.sum("i").alias("total_imports"))
     two = by_file.agg(
         F.round(F.avg("afferent"), 6).alias("avg_afferent"), F.max("afferent").alias("max_afferent"), F.round(F.avg("efferent"), 6).alias("avg_efferent"), F.max("efferent").alias("max_efferent"),
@@ -237,11 +240,11 @@ def cohesion(units: DataFrame, members: DataFrame) -> DataFrame:
 
     Pairs that share one are counted by an equi-join on (class, attribute), and the rest is arithmetic.
     """
-    methods = units.where("symbol_type = 'method'").join(members.select(F.col("src").alias("class"), F.col("dst").alias("id")), "id")
+    methods = units.where("symbol_type = 'method'").join(unsent(members.select(F.col("src").alias("class"), F.col("dst").alias("id"))), "id")
     size = methods.groupBy("class").agg(F.count("*").alias("m"))
     said = methods.select("class", "id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"self\.(\w+)"), F.lit(1)))).alias("a"))
-    meet = said.join(said.withColumnRenamed("id", "other"), ["class", "a"]).where("id < other").select("class", "id", "other").distinct().groupBy("class").agg(F.count("*").alias("shared"))
-    c = units.where(_CLASS).select("id").join(size.withColumnRenamed("class", "id"), "id", "left").join(meet.withColumnRenamed("class", "id"), "id", "left")
+    meet = said.join(unsent(said.withColumnRenamed("id", "other")), ["class", "a"]).where("id < other").select("class", "id", "other").distinct().groupBy("class").agg(F.count("*").alias("shared"))
+    c = units.where(_CLASS).select("id").join(unsent(size.withColumnRenamed("class", "id")), "id", "left").join(unsent(meet.withColumnRenamed("class", "id")), "id", "left")
     pairs = F.col("m") * (F.col("m") - 1) / 2
     return c.select("id", F.when(F.col("m") > 1, (pairs - F.coalesce("shared", F.lit(0))) / pairs).otherwise(0.0).alias("lcom"))
 

@@ -103,8 +103,8 @@ def an07(spark, sf_dir):
 def _smells(spark, sf_dir):
     u, x = units(spark, sf_dir), _extracted(spark, sf_dir)
     a, b = u.select(F.col("id").alias("src"), F.col("file_path").alias("from")), u.where("symbol_type = 'class'").select("id", F.col("id").alias("dst"), "file_path")
-    shotgun = x.join(b, "dst").join(a, "src").where(F.col("from") != F.col("file_path")).groupBy("id").agg(F.countDistinct("from").alias("n")).where("n > 5")
-    return A.smells(u, x, E.duplicated(u), shotgun).select("id", "pattern")
+    shotgun = x.join(E.unsent(b), "dst").join(E.unsent(a), "src").where(F.col("from") != F.col("file_path")).groupBy("id").agg(F.countDistinct("from").alias("n")).where("n > 5")
+    return A.smells(u, x, E.duplicated_ids(u), shotgun).select("id", "pattern")
 
 
 _SMELL_SQL = f"{_tag_sql(A.SMELLS)} UNION ALL {_LARGE.format(n=20)} UNION ALL {_ENVY} UNION ALL {_DUP} UNION ALL {_SHOT}"

@@ -203,3 +203,44 @@ def test_pair_similarity_counts_a_text_once(spark):
     plan = code_search.rk10(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
     joined = plan.split("Join Inner")[0]
     assert "Join Inner" in plan and "class " not in joined and "content" not in joined and "length" not in joined
+
+
+def test_duplicated_ids_are_those_of_the_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(f"r{i}", "\n".join(rng.choice("abc") for _ in range(rng.randint(0, 14)))) for i in range(60)]  # short runs that many share
+    rows += [(f"s{i}", "\n".join(str(rng.randint(0, 12)) for _ in range(rng.randint(4, 12)))) for i in range(60)]
+    rows += [("x1", "p\nq\nr\ns\n1\n2\n3\n4\n5\np\nq\nr\ns\n6\nt\nu\nv\nw"), ("x2", "t\nu\nv\nw\n0\np\nq\nr\ns"), ("x3", "p\nq\nr\ns\n9"), ("n", None), ("e", "")]
+    d = spark.createDataFrame(rows, "id string, content string")
+    pairs = {r["id"] for r in E.duplicated(d).collect()}
+    got = [r["id"] for r in E.duplicated_ids(d).collect()]
+    assert set(got) == pairs and len(got) == len(pairs) and "x1" in pairs and "x2" not in pairs
+    # a run that all units have made pairs of all of them
+    same = spark.range(3000).selectExpr("concat('u', id) AS id", "concat('a', id, repeat('\\ny = y + 1', 40)) AS content")
+    assert E.duplicated_ids(same).count() == 3000
+
+
+def test_members_and_counts_without_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(150):
+        start = rng.randint(-5, 400)
+        rows.append((f"{i % 3}.py", f"n{i % 40}", rng.choice(["class", "class", "method", "function"]), "def f(): n1(); n2()", start, start + rng.choice([-3, 0, 1, 2, 7, 8, 49, 63, 64, 300])))
+    rows += [("0.py", "none", "class", "x", None, 5), ("0.py", "none", "method", "x", 5, None)]
+    u = units(spark, rows)
+    ids = [f"u{i}" for i in range(len(rows))]
+    want = {(ids[c], ids[m]) for c, x in enumerate(rows) for m, y in enumerate(rows) if c != m and x[2] == "class" and x[0] == y[0] and None not in (*x[4:], *y[4:]) and y[4] > x[4] and y[5] <= x[5]}
+    got = [(r["src"], r["dst"]) for r in E.class_members(u).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+    plan = E.class_members(u)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(bin#" in plan  # not by the file alone
+    # repeated rows, and an id in two files
+    more = u.union(u.where("id in ('u1', 'u4', 'u5', 'u8')")).union(u.where("id in ('u0', 'u3', 'u2', 'u7')").withColumn("file_path", F.lit("1.py")))
+    f = spark.createDataFrame([("f", "0.py", "import n1\n")], "id string, file_path string, content string")
+    grouped = E.relationships(f, more).groupBy("src", "dst", "relation_type", "weight").agg(F.count("*").alias("times"))
+    assert sorted(map(tuple, E.counted_relationships(f, more).collect())) == sorted(map(tuple, grouped.collect()))
+    # texts of units are never sent to all tasks
+    assert "Broadcast" not in E.usages(u)._jdf.queryExecution().executedPlan().toString()
