@@ -244,3 +244,22 @@ def test_members_and_counts_without_all_pairs(spark):
     assert sorted(map(tuple, E.counted_relationships(f, more).collect())) == sorted(map(tuple, grouped.collect()))
     # texts of units are never sent to all tasks
     assert "Broadcast" not in E.usages(u)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_are_held_in_blocks(monkeypatch):
+    # the scores of all queries with 2048 rows were held at once
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = np.random.default_rng(5).normal(size=(6000, 4)).round(1)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(6000)), pa.array(x.tolist())], ["id", "v"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(V._nearest(np.arange(6000), unit, 3, False)(iter([batch]))))
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    score = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(score, -np.inf)
+    want = np.lexsort((np.broadcast_to(np.arange(6000), score.shape), -score))[:, :3]
+    assert got["unit_id"].to_numpy().reshape(-1, 3).tolist() == want.tolist()
