@@ -20,12 +20,12 @@ from lodestone.operators.durable import durable
 
 def _adjacency(edges: DataFrame, most: int = LOCAL_EDGES) -> dict:
     """Sorted distinct out-neighbours by node; raises where there are too many edges."""
-    rows = edges.select("src", "dst").distinct().limit(most + 1).collect()
-    if len(rows) > most:
+    rows = edges.select("src", "dst").distinct().limit(most + 1).toArrow()
+    if rows.num_rows > most:
         raise ValueError(f"this operator takes graphs of at most {most} edges")
     out: dict = {}
-    for r in rows:
-        out.setdefault(r["src"], []).append(r["dst"])
+    for a, b in zip(rows["src"].to_pylist(), rows["dst"].to_pylist()):
+        out.setdefault(a, []).append(b)
     return {k: sorted(v) for k, v in out.items()}
 
 

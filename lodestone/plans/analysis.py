@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import analysis as A
 from lodestone.operators import edges as E
 from lodestone.operators import ranking as R
+from lodestone.operators.durable import written
 from lodestone.plans.code import U, files, units
 from lodestone.plans.edges import COUPLED, EXTRACT, JN10, _extracted, _q
 from lodestone.plans.registry import register
@@ -101,7 +102,7 @@ def an07(spark, sf_dir):
 
 
 def _smells(spark, sf_dir):
-    u, x = units(spark, sf_dir), _extracted(spark, sf_dir)
+    u, x = units(spark, sf_dir), written(_extracted(spark, sf_dir))
     a, b = u.select(F.col("id").alias("src"), F.col("file_path").alias("from")), u.where("symbol_type = 'class'").select("id", F.col("id").alias("dst"), "file_path")
     shotgun = x.join(E.unsent(b), "dst").join(E.unsent(a), "src").where(F.col("from") != F.col("file_path")).groupBy("id").agg(F.countDistinct("from").alias("n")).where("n > 5")
     return A.smells(u, x, E.duplicated_ids(u), shotgun).select("id", "pattern")
@@ -184,8 +185,8 @@ _EVERY = (*EXTRACT, COUPLED, _COUPLING, _LCOM, _M, f"am AS (SELECT {_values('bas
 
 
 def _every(spark, sf_dir):
-    u = units(spark, sf_dir)
-    return _plain(A.all_metrics(u, _extracted(spark, sf_dir), _by_file(spark, sf_dir), E.class_members(u)))
+    u, x = units(spark, sf_dir), written(_extracted(spark, sf_dir))
+    return _plain(A.all_metrics(u, x, E.coupling(u, x), E.class_members(u)))
 
 
 @register("ag01_all_metrics", _q(*_EVERY) + "SELECT * FROM aq")
