@@ -8,6 +8,7 @@ folders of its terms and, by the files' statistics, few of their row groups.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
-from lodestone.operators.durable import ensure_checkpoint_dir
+from lodestone.operators.durable import ensure_checkpoint_dir, written
 
 
 def index_term(word: Column) -> Column:
@@ -115,6 +116,7 @@ class IndexStore:
         return store
 
     def postings(self) -> DataFrame:
+        """(term, unit_id, tf, bucket)."""
         return self.spark.read.schema("term string, unit_id long, tf int, bucket int").parquet(f"{self.folder}/postings")
 
     def terms(self) -> DataFrame:
@@ -134,26 +136,41 @@ class IndexStore:
 
     def search(self, terms: list[str], k: int) -> DataFrame:
         """(unit_id, score) by ln(V / (df + 1)) a term; repeated terms add again."""
-        v = self.size()
-        hit = self.of(terms)
-        times = F.lit(0)
+        return self._scored(self.of(terms), self.terms().where(F.col("term").isin(list(dict.fromkeys(terms)))), terms, k)
+
+    def _scored(self, hit: DataFrame, known: DataFrame, terms: list[str], k: int) -> DataFrame:
+        v, times = self.size(), F.lit(0)
         for t in dict.fromkeys(terms):
             times = F.when(F.col("term") == t, terms.count(t)).otherwise(times)
-        rate = self.terms().where(F.col("term").isin(list(dict.fromkeys(terms)))).select("term", (F.ln(F.lit(float(v)) / (F.col("df") + 1)) * times).alias("gain"))
+        rate = known.select("term", (F.ln(F.lit(float(v)) / (F.col("df") + 1)) * times).alias("gain"))
         hits = hit.join(F.broadcast(rate), "term").groupBy("unit_id").agg(F.round(F.sum("gain"), 6).alias("score"))  # a row a query term
         return hits.orderBy(F.desc("score"), "unit_id").limit(k)
 
     def near(self, terms: list[str], most: int, k: int) -> DataFrame:
         """(query, term, df, distance): the k terms nearest to each query term, itself excluded, in one pass over the table of terms."""
+        return self._nearest(self.terms(), terms, most, k).select("query", "term", "df", "distance")
+
+    def _nearest(self, known: DataFrame, terms: list[str], most: int, k: int) -> DataFrame:
         words = self.spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "query int, said string")
-        found = self.terms().join(F.broadcast(words), F.abs(F.length("term") - F.length("said")) <= most)  # as many rows as the query has terms
+        found = known.join(F.broadcast(words), F.abs(F.length("term") - F.length("said")) <= most)  # as many rows as the query has terms
         found = found.withColumn("distance", F.levenshtein("term", "said", most)).where("distance > 0")
         first = F.row_number().over(Window.partitionBy("query").orderBy("distance", "term"))
-        return found.withColumn("r", first).where(F.col("r") <= k).select("query", "term", "df", "distance")
+        return found.withColumn("r", first).where(F.col("r") <= k)
+
+    def _close(self, terms: list[str], most: int, near: int) -> DataFrame:
+        return self.near(terms, most, near)
+
+    def matching(self, pattern: str) -> DataFrame:
+        """Postings of the terms that a pattern is found in."""
+        return self.postings().join(self.terms().where(F.col("term").rlike(pattern)).select("term"), "term", "left_semi")
+
+    def starting(self, prefix: str) -> DataFrame:
+        """(term, df) of the terms that start so."""
+        return self.terms().where(F.col("term").startswith(prefix))
 
     def fuzzy(self, terms: list[str], k: int, most: int = 2, near: int = 10) -> DataFrame:
         """(unit_id, score): how many of the query terms' neighbours a unit has, a neighbour of two counting twice."""
-        close = self.near(terms, most, near).groupBy("term").agg(F.count("*").alias("times")).collect()  # at most ``near`` a query term
+        close = self._close(terms, most, near).groupBy("term").agg(F.count("*").alias("times")).collect()  # at most ``near`` a query term
         if not close:
             return self.postings().select("unit_id", F.lit(0).cast("long").alias("score")).limit(0)
         times = F.lit(0)
@@ -161,3 +178,59 @@ class IndexStore:
             times = F.when(F.col("term") == r["term"], r["times"]).otherwise(times)
         hits = self.of([r["term"] for r in close]).groupBy("unit_id").agg(F.sum(times).cast("long").alias("score"))
         return hits.orderBy(F.desc("score"), "unit_id").limit(k)
+
+
+class IndexScan(IndexStore):
+    """The searches of a store without one: each reads the units, and only postings that it asks for are shuffled.
+
+    A store costs a shuffle of all postings, which pays where many searches follow.
+    """
+
+    def __init__(self, units: DataFrame, unit_id: str, content: str):
+        super().__init__(units.sparkSession, "")
+        self._units = units.select(F.col(unit_id).cast("long").alias("unit_id"), F.lower(content).alias("text"))
+        self._words = units.select(F.col(unit_id).cast("long").alias("unit_id"), F.explode(T.words(F.col(content))).alias("w")).select(T.stem(F.col("w")).alias("term"), "unit_id").where(T.is_term(F.col("term")))
+
+    def _grouped(self, words: DataFrame) -> DataFrame:
+        return words.groupBy("term", "unit_id").agg(F.count("*").cast("int").alias("tf"))
+
+    def postings(self) -> DataFrame:
+        return self._grouped(self._words)
+
+    def matching(self, pattern: str) -> DataFrame:
+        return self._grouped(self._words.where(F.col("term").rlike(pattern)))
+
+    def starting(self, prefix: str) -> DataFrame:
+        return self._grouped(self._words.where(F.col("term").startswith(prefix))).groupBy("term").agg(F.count("*").alias("df"))
+
+    def terms(self) -> DataFrame:
+        return self.postings().groupBy("term").agg(F.count("*").alias("df"))
+
+    def size(self) -> int:
+        if self._size is None:
+            self._size = self._words.select("term").distinct().count()
+        return self._size
+
+    def of(self, terms: list[str]) -> DataFrame:
+        known = list(dict.fromkeys(terms))
+        if not known:
+            return self._grouped(self._words.where(F.lit(False)))
+        # a stem begins its word: only words that begin with a term are taken out of the text
+        words = rf"(?<!{T.WORD[:-1]})(?:{'|'.join(re.escape(t) for t in known)}){T.WORD[:-1]}*"
+        said = self._units.select("unit_id", F.explode(F.regexp_extract_all("text", F.lit(words), F.lit(0))).alias("w")).select(T.stem(F.col("w")).alias("term"), "unit_id")
+        return self._grouped(said.where(T.is_term(F.col("term")) & F.col("term").isin(known)))
+
+    def search(self, terms: list[str], k: int) -> DataFrame:
+        hit = written(self.of(terms))  # read twice
+        rate = hit.groupBy("term").agg(F.count("*").alias("df"))
+        return self._scored(hit, rate, terms, k)
+
+    def near(self, terms: list[str], most: int, k: int) -> DataFrame:
+        # the vocabulary first, how often a term occurs only of those found
+        found = self._nearest(self._words.select("term").distinct(), terms, most, k).select("query", "term", "distance").collect()  # k rows a query term
+        rows = self.spark.createDataFrame([tuple(r) for r in found], "query int, term string, distance int")
+        df = self.of([r["term"] for r in found]).groupBy("term").agg(F.count("*").alias("df")) if found else self.spark.createDataFrame([], "term string, df long")
+        return rows.join(df, "term").select("query", "term", "df", "distance")
+
+    def _close(self, terms: list[str], most: int, near: int) -> DataFrame:
+        return self._nearest(self._words.select("term").distinct(), terms, most, near)

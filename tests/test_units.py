@@ -263,3 +263,14 @@ def test_scores_are_held_in_blocks(monkeypatch):
     np.fill_diagonal(score, -np.inf)
     want = np.lexsort((np.broadcast_to(np.arange(6000), score.shape), -score))[:, :3]
     assert got["unit_id"].to_numpy().reshape(-1, 3).tolist() == want.tolist()
+
+
+def test_a_scan_finds_what_the_store_finds(spark, docs, tmp_path):
+    # one search built the whole index first
+    built, scan = I.IndexStore.build(docs, "id", "text", str(tmp_path / "again")), I.IndexScan(docs, "id", "text")
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    for terms in (["pars", "function", "pars"], ["nothing"], []):
+        assert scan.size() == built.size() and rows(scan.search(terms, 5)) == rows(built.search(terms, 5)) and sorted(rows(scan.of(terms))) == sorted(rows(built.of(terms)))
+    for terms in (["parsr", "über"], ["zzzzzzzzz"]):
+        assert sorted(rows(scan.near(terms, 2, 3))) == sorted(rows(built.near(terms, 2, 3))) and rows(scan.fuzzy(terms, 5)) == rows(built.fuzzy(terms, 5))
+    assert sorted(rows(scan.matching("(?i)^P").select("term", "unit_id", "tf"))) == sorted(rows(built.matching("(?i)^P").select("term", "unit_id", "tf"))) and sorted(rows(scan.starting("p"))) == sorted(rows(built.starting("p")))
