@@ -141,7 +141,8 @@ _JS = """'import dep_' || k || ' from "m";' || chr(10) || '/** Adds ' || k || '.
 
 
 def _javascript(spark, sf_dir):
-    files = _sql(spark, sf_dir, f"WITH {U} SELECT 'f' || k || '.js' AS path, 'javascript' AS file_type, {_JS} AS content FROM u")
+    text = f"SELECT 'f' || k || '.js' AS path, 'javascript' AS file_type, {_JS} AS content FROM ".replace("{", "{{").replace("}", "}}")
+    files = spark.sql(text + "{u}", u=units(spark, sf_dir).select("k"))
     return P.parsed(files)
 
 

@@ -9,12 +9,15 @@ from lodestone.functions import paths as P
 from lodestone.functions import text as T
 from lodestone.operators import analysis as A
 from lodestone.operators import units as N
+from lodestone.operators.blocks import tasks
 from lodestone.plans.code import U, units
 from lodestone.plans.registry import register
 
 
 def _part(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    # a small file is one task's, but its tokens are many
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    return p.repartition(tasks(p), "id")
 
 
 def _documents(spark, sf_dir):
